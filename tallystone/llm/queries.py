@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import op3_decontaminate
+from .line_dedup import op4_line_spread
 from .mixing import op10_curriculum_mix
+from .mtree import op1_mtree_top_k
+from .secrets import op5_secret_scan
+from .token_counts import op7_token_counts
 from .url_filter import op9_url_cascade
 
 OP9_SQL = r"""
@@ -24,11 +29,40 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+OP4_SQL = """
+WITH lines AS (
+  SELECT d.doc_id, d.source, u.n, u.line, regexp_replace(u.line, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') AS k
+  FROM documents d, LATERAL (SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(d.text, ''), chr(10))))) AS n) u
+), shared AS (
+  SELECT k FROM lines WHERE regexp_matches(line, '[^ \\t\\r]') GROUP BY k HAVING count(DISTINCT coalesce(source, chr(0))) >= 6
+), marked AS (SELECT doc_id, n, line, k IN (SELECT k FROM shared) AS gone FROM lines)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS text_sha256
+FROM marked GROUP BY doc_id
+"""
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 QUERIES = {
+    "op1_mtree_top_k": op1_mtree_top_k,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_line_spread": op4_line_spread,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_token_counts": op7_token_counts,
     "op9_url_cascade": op9_url_cascade,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
 
 ORACLE_SQL = {
+    "op1_mtree_top_k": OP1_SQL,
+    "op4_line_spread": OP4_SQL,
     "op9_url_cascade": OP9_SQL,
 }
