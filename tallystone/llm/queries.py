@@ -7,7 +7,10 @@ from .line_dedup import op4_line_spread
 from .mixing import op10_curriculum_mix
 from .mtree import op1_mtree_top_k
 from .secrets import op5_secret_scan
+from .sharding import op8_tiered_shards
+from .simhash import op2_simhash_dedup
 from .token_counts import op7_token_counts
+from .toxicity import op6_toxicity
 from .url_filter import op9_url_cascade
 
 OP9_SQL = r"""
@@ -53,10 +56,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 QUERIES = {
     "op1_mtree_top_k": op1_mtree_top_k,
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_spread": op4_line_spread,
     "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op8_tiered_shards": op8_tiered_shards,
     "op9_url_cascade": op9_url_cascade,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
