@@ -161,14 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
 
 def scored(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `score`, from the text alone. Null and empty texts have no words and get the curve's value there."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = sent.value
-        automaton = own.automaton()
+        automaton = lexicon.automaton()
         for pdf in batches:
-            x = np.array([own.features(automaton, t) for t in pdf[text]]).reshape(-1, 3)
-            yield pdf.drop(columns=drop).assign(score=own.score(x))
+            x = np.array([lexicon.features(automaton, t) for t in pdf[text]]).reshape(-1, 3)
+            yield pdf.drop(columns=drop).assign(score=lexicon.score(x))
 
     drop = [c for c in docs.columns if c == "score"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in drop)
