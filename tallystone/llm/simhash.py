@@ -1,17 +1,16 @@
 """SimHash near-dedup by deletion-variant signatures.
 
-A fingerprint has a bit for each place in which over half of a text's shingle hashes have one. Two
-fingerprints link if they differ in few bits, `reach` at most. Cut into reach // 2 + 1 segments, one segment
-of two linked fingerprints differs in one bit at most. So each fingerprint is indexed under every segment with
-each one of its bits made a wildcard, fingerprints of an equal variant are joined, and the whole fingerprints
-are verified.
+A fingerprint has a bit for each place in which over half of a text's shingle hashes have one. Cut into
+reach // 2 + 1 segments, two fingerprints that differ in `reach` bits at most have a segment that differs in
+one bit at most. So each fingerprint is indexed under every segment with each one of its bits made a wildcard,
+fingerprints of an equal variant are joined, and the whole fingerprints are verified.
 
 Only distinct fingerprints are indexed; the documents of one come back at the end by a join on it. A bucket of
-variants with two members gives its pair from its min and max alone. Larger ones are joined if they have
-DENSE members at most. Denser buckets never pair their members: each of their fingerprints is indexed under
-itself and all fingerprints that differ in reach / 2 bits at most; two fingerprints link if and only if they
-have such a neighbour in common, and all that share one link to its smallest. (For odd reach the pair is found
-from the neighbours of the two halves, rounded up, and is verified along the star; see _dense.)
+variants with two members gives its pair from its min and max alone. Larger ones are joined pair by pair if
+they have DENSE members at most; denser ones never are. near_duplicates() then indexes each of their
+fingerprints under itself and all that differ in one bit: two link if and only if they share such a neighbour,
+and all that share one link to its smallest, so no link is lost. similar_groups(), which works by similarity
+on wide fingerprints, compares the members of a dense bucket with LEADERS of them.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
@@ -28,29 +27,58 @@ from .components import components
 
 BITS = 64
 SHINGLE, REACH, SEED = 3, 2, 42
-#: Members of a bucket up to which they are joined pair by pair.
-DENSE = 48
+#: Members of a bucket up to which they are joined pair by pair, and members that all of a denser one meet.
+DENSE, LEADERS = 48, 16
+#: Of similar_groups(): words of a shingle, similarity, segments and their bits. Linked fingerprints differ in
+#: MOST_OFF of the bits at most, which is what a similarity of 0.8 gives, and a margin for chance.
+SIMILAR_SHINGLE, SEGMENTS, SEGMENT_BITS, MOST_OFF = 5, 10, 24, 0.167
+#: Rows of dropped ids up to which they are sent to every executor.
+SEND_ROWS = 2_000_000
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """A text's SimHash over runs of `shingle` words, A-Z lower-cased; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of a text's runs of `shingle` words, A-Z lower-cased; of all words if there are fewer."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line, n = b" ".join(w), max(1, len(w) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     pairs = zip(starts[:n].tolist(), ends[min(shingle, len(w)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[a:b], seed) for a, b in pairs), dtype=np.uint64, count=n)
+    return np.fromiter((digest(line[a:b], seed) for a, b in pairs), dtype=np.uint64, count=n)
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """For each of 64 bits whether over half of the hashes have it."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, _BLOCK):
-        part = h[at : at + _BLOCK]
+    for at in range(0, len(h), _BLOCK):
+        part = np.ascontiguousarray(h[at : at + _BLOCK])
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
+    return 2 * ones > len(h)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """A text's SimHash of 64 bits, repeats included; 0 without words."""
+    return int(np.packbits(majority(shingle_hashes(text, shingle, seed)), bitorder="little").view(np.uint64)[0])
+
+
+def wide_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE, n: int = SEGMENTS, bits: int = SEGMENT_BITS, seed: int = SEED) -> list[int]:
+    """The segments of a text's SimHash of n * bits bits over its distinct shingles; zeros without words."""
+    h = np.unique(shingle_hashes(text, shingle, seed))
+    if not len(h):
+        return [0] * n
+    flags = []
+    with np.errstate(over="ignore"):
+        for k in range(-(-n * bits // BITS)):  # more bits by mixing the hash
+            x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            flags.append(majority(x ^ (x >> np.uint64(32))))
+    flags = np.concatenate(flags)[: n * bits].reshape(n, bits)
+    return (flags * (1 << np.arange(bits, dtype=np.int64))).sum(axis=1).tolist()
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -65,33 +93,32 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return rows.mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long")
 
 
-def segments(reach: int = REACH) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment."""
-    n = reach // 2 + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def variants(fps: DataFrame, reach: int = REACH) -> DataFrame:
-    """fps with a row for each wildcard variant: slot (which segment and bit) and part (the segment without the bit)."""
-    slots = []
-    for start, bits in segments(reach):
-        for i in range(bits):
-            mask = ((1 << bits) - 1) << start & ~(1 << (start + i))
-            slots.append(F.struct(F.lit(start + i).cast("short").alias("slot"), F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")).alias("part")))
-    return fps.withColumn("v", F.explode(F.array(*slots))).select("fp", "v.slot", "v.part")
+def variants(rows: DataFrame, bits: int) -> DataFrame:
+    """(id, key) for each one-wildcard variant of each segment of rows (id, segs); a key holds segment, bit and the rest of the segment."""
+    masks = F.array(*[F.lit(((1 << bits) - 1) & ~(1 << j)).cast("long") for j in range(bits)])
+    keys = F.flatten(F.transform("segs", lambda x, i: F.transform(masks, lambda m, j: x.bitwiseAND(m).bitwiseOR(F.shiftleft((i * bits + j).cast("long"), 32)))))
+    return rows.select("id", F.explode(keys).alias("key"))
+
+
+def buckets(indexed: DataFrame) -> DataFrame:
+    """(key, n, a, b) of the variants that several ids have: their number, the smallest and the largest id."""
+    # nearly all keys are single, so nothing is summed up before the shuffle
+    return checkpointed(indexed.repartition("key").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("n > 1"))
 
 
-def _near(a, b, reach: int):
-    return F.bit_count(a.bitwiseXOR(b)) <= reach
+def candidates(indexed: DataFrame, held: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(a, b), a < b: ids that share a bucket of up to `dense` members."""
+    members = indexed.join(held.filter(f"n > 2 and n <= {dense}").select("key"), "key", "left_semi")
+    pairs = members.withColumnRenamed("id", "a").join(members.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b")
+    return held.filter("n = 2").select("a", "b").unionByName(pairs)
 
 
-def _dense(fps: DataFrame) -> DataFrame:
-    """(a, b) for reach 2: fingerprints that share a neighbour at one bit, by a star from the smallest.
+def _neighbours(fps: DataFrame) -> DataFrame:
+    """(a, b): fingerprints that share a neighbour at one bit, by a star from its smallest.
 
     Two that both differ from a third in one bit at most differ in two at most; and two that differ in two
     bits share the one with one of these bits changed. A neighbour has 65 fingerprints around it at most, so
@@ -102,27 +129,20 @@ def _dense(fps: DataFrame) -> DataFrame:
     return stars.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a != b").distinct()
 
 
-def links(fps: DataFrame, reach: int = REACH, dense: int = DENSE) -> DataFrame:
-    """(a, b) of distinct fingerprints (column fp) that differ in `reach` bits at most.
-
-    Buckets of up to `dense` members give all their pairs. For reach 2, denser ones give a star for each
-    common neighbour, which links the same components with no link beyond reach; for other reaches they are
-    joined in pairs too.
-    """
-    indexed = variants(fps, reach)
-    buckets = checkpointed(indexed.groupBy("slot", "part").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
-    two = buckets.filter("n = 2").select("a", "b")
-    joined = buckets.filter(f"n > 2 and n <= {dense}" if reach == 2 else "n > 2").select("slot", "part")
-    members = indexed.join(joined, ["slot", "part"], "left_semi")
-    pairs = members.select("slot", "part", F.col("fp").alias("a")).join(members.select("slot", "part", F.col("fp").alias("b")), ["slot", "part"]).filter("a < b").select("a", "b")
-    found = two.unionByName(pairs).filter(_near(F.col("a"), F.col("b"), reach)).distinct()
-    if reach == 2 and not buckets.filter(f"n > {dense}").isEmpty():
-        crowded = indexed.join(buckets.filter(f"n > {dense}").select("slot", "part"), ["slot", "part"], "left_semi").select("fp").distinct()
-        found = found.unionByName(_dense(crowded)).distinct()
+def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(a, b) of distinct fingerprints (column fp) that differ in two bits at most; of dense buckets enough of them to join the same components."""
+    half = (1 << BITS // 2) - 1
+    rows = fps.select(F.col("fp").alias("id"), F.array(F.col("fp").bitwiseAND(F.lit(half)), F.shiftrightunsigned("fp", BITS // 2)).alias("segs"))
+    indexed = variants(rows, BITS // 2)
+    held = buckets(indexed)
+    found = candidates(indexed, held, dense).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH).distinct()
+    crowded = held.filter(f"n > {dense}").select("key")
+    if not crowded.isEmpty():
+        found = found.unionByName(_neighbours(indexed.join(crowded, "key", "left_semi").select(F.col("id").alias("fp")).distinct())).distinct()
     return found
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, reach: int = REACH, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, dense: int = DENSE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows of an id keep
@@ -131,13 +151,58 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     made = checkpointed(fingerprints(docs, doc_id, text, shingle, seed))
     first = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = checkpointed(links(first.select("fp"), reach))
+    found = checkpointed(links(first.select("fp"), dense))
     edges = found.join(first.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
     labels = components(edges)
     ids = first.join(labels.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("label", "first").alias("component_id"))
     return made.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, most_off: float = MOST_OFF, dense: int = DENSE) -> DataFrame:
+    """(doc_id, group_id): group_id is the smallest doc_id reachable over links of similar texts.
+
+    Fingerprints have SEGMENTS * SEGMENT_BITS bits over the distinct shingles. Texts link if they differ in
+    most_off of them at most and some segment differs in one bit at most; so a text with one shingle in ten
+    changed is found nearly always, at a similarity of 0.8 two in three are. Equal fingerprints are one group.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "segs": [wide_fingerprint(t, shingle) for t in pdf["text"]]})
+
+    made = checkpointed(rows.mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, segs array<long>"))
+    first = checkpointed(made.groupBy("segs").agg(F.min("doc_id").alias("id")))
+    indexed = variants(first.select("id", "segs"), SEGMENT_BITS)
+    held = buckets(indexed)
+    pairs = candidates(indexed, held, dense)
+    crowded = held.filter(f"n > {dense}").select("key")
+    if not crowded.isEmpty():
+        members = indexed.join(crowded, "key", "left_semi")
+        order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+        heads = members.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("key", F.col("id").alias("h"))
+        stars = members.join(heads, "key").filter("id != h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+        pairs = pairs.unionByName(stars)
+    pairs = checkpointed(pairs.distinct())
+    off = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = pairs.join(first.select(F.col("id").alias("a"), F.col("segs").alias("sa")), "a").join(first.select(F.col("id").alias("b"), F.col("segs").alias("sb")), "b")
+    labels = components(both.filter(off <= int(most_off * SEGMENTS * SEGMENT_BITS)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    ids = first.join(labels.withColumnRenamed("node", "id"), "id", "left").select("segs", F.coalesce("label", "id").alias("group_id"))
+    return made.join(ids, "segs").select("doc_id", "group_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", send_rows: int = SEND_ROWS, **options) -> DataFrame:
+    """docs with one row of each group of similar texts: that of the smallest doc_id. All columns are kept.
+
+    Null, empty and blank texts are one group. Rows with null ids stay. Of rows that repeat an id one stays.
+    """
+    groups = checkpointed(similar_groups(docs, doc_id, text, **options))
+    gone = checkpointed(groups.filter("doc_id != group_id").select(F.col("doc_id").alias("_gone")).distinct())
+    kept = docs.join(F.broadcast(gone) if gone.count() <= send_rows else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    return kept if again.isEmpty() else kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.filter(F.col(doc_id).isNull()))
+
+
 def op2_simhash_dedup(spark, sf_dir):
     rows = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -30,7 +30,8 @@ from .common import checkpointed, table
 #: Bounds of what is fitted: labelled rows (chosen by a hash of the id) and stems of the lexicon.
 FIT_ROWS, STEMS = 20_000, 2000
 PREFIXES = (4, 5, 6, 7, 8)
-LEAST_DOCS, LEAST_Z = 5, 5.0
+#: Toxic documents that must have a stem, and the least likelihood ratio (G) of its share among them.
+LEAST_DOCS, LEAST_G = 3, 18.0
 #: Phrases that are harmless though a word of them may be in the lexicon.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "class clown", "idiot proof", "pond scum", "sore loser")
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters; i, l and 1 are one.
@@ -139,10 +140,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
     if of is None or not of.d0 or not of.d1:
         return Lexicon({}, tuple(exceptions), (-3.0, 0.0, 0.0, 0.0))
     rate = F.log(((F.col("n1") + 0.5) / of.n1) / ((F.col("n0") + 0.5) / of.n0))
-    share1, share0 = (F.col("d1") + 0.5) / (of.d1 + 1), (F.col("d0") + 0.5) / (of.d0 + 1)
-    z = F.log(share1 / share0) / F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))
-    best = stems.filter("stem != ''").select("stem", rate.alias("weight"), z.alias("z")).filter(f"z >= {LEAST_Z} and weight >= 1")
-    weights = {r.stem: float(r.weight) for r in best.orderBy(F.desc("z"), "stem").limit(STEMS).collect()}
+    whole = float(of.d0 + of.d1)
+    part = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * whole / (row * column))).otherwise(0.0)
+    having = F.col("d0") + F.col("d1")
+    cells = [(F.col("d1"), of.d1, having), (F.col("d0"), of.d0, having), (of.d1 - F.col("d1"), of.d1, whole - having), (of.d0 - F.col("d0"), of.d0, whole - having)]
+    g = 2 * sum((part(*c) for c in cells), F.lit(0.0))
+    best = stems.filter("stem != ''").select("stem", rate.alias("weight"), g.alias("g")).filter(f"g >= {LEAST_G} and weight >= 1 and d1 * {of.d0} > d0 * {of.d1}")
+    weights = {r.stem: float(r.weight) for r in best.orderBy(F.desc("g"), "stem").limit(STEMS).collect()}
     lexicon = Lexicon(weights, tuple(exceptions))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
