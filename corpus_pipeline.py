@@ -1,10 +1,61 @@
-"""The training-data pipeline over documents: STAGES of the operators in tallystone.llm, and run()."""
+"""The training-data pipeline over documents: STAGES of the operators in tallystone.llm, and run().
+
+A stage takes what the one before it has kept, as a table, and gives documents with the same columns; the
+last one gives them with the shard that holds them.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallystone.llm.common import scratch
+from tallystone.llm.decontamination import decontaminate
+from tallystone.llm.mixing import curriculum
+from tallystone.llm.sharding import shard
+from tallystone.llm.simhash import keep_first
+from tallystone.llm.toxicity import judged
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon doesn't take for toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return judged(docs, labels).filter("predicted = 0").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; those that are mostly such passages go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    other = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    clean = decontaminate(docs, items, columns=other).filter("not dropped").withColumn("text", F.col("clean_text"))
+    return clean.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, as often as the mix takes them."""
+    return curriculum(docs).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last version of a shard store with all documents, and the shard of each."""
+    return shard(docs, scratch(spark, "corpus"))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+#: The stages can't be said in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        out = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return STAGES[-1][1](spark, docs, sf_dir)
