@@ -83,22 +83,32 @@ def chinese_int(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]+$"), c.try_cast("int")).when(at > 0, tens * 10 + ones).otherwise(F.try_element_at(digit, c))
 
 
-def parse_lead_time(c: Column) -> Column:
-    """Days of a delivery term, the larger of a range; null if it can't be told. The first form that fits counts."""
-    t = F.regexp_replace(ascii_digits(strip(c)), LEAD_NOISE, "")
+def lead_term(c: Column) -> Column:
+    """A delivery term without white space around it and without words that say nothing, its digits in ASCII."""
+    return F.regexp_replace(ascii_digits(strip(c)), LEAD_NOISE, "")
+
+
+def term_days(c: Column, t: Column) -> Column:
+    """Days of the term c, of which t is the lead_term."""
     s = rf"{SPACE}*"
     days = rf"{s}(?:个)?(?:工作日|天|日)"
     span, day = rf"(?U){LEAD_NUMBER}{s}[-~到至]{s}{LEAD_NUMBER}{days}", rf"(?U){LEAD_NUMBER}{days}"
-    week, month = rf"(?U){LEAD_NUMBER}{s}(?:个)?(?:星期|周)", rf"(?U){LEAD_NUMBER}{s}(?:个)?月"
-    number = lambda pattern, group=1: chinese_int(F.regexp_extract(t, pattern, group))
-    return (
-        F.when(c.rlike(IN_STOCK), 0)
-        .when(t.rlike(span), F.greatest(number(span), number(span, 2)))
-        .when(t.rlike(day), number(day))
-        .when(t.rlike(week), number(week) * 7)
-        .when(t.rlike("半(?:个)?月"), 15)
-        .when(t.rlike(month), number(month) * 30)
-    ).cast("int")
+    week, half, month = rf"(?U){LEAD_NUMBER}{s}(?:个)?(?:星期|周)", "半(?:个)?月", rf"(?U){LEAD_NUMBER}{s}(?:个)?月"
+    # the number of the first form that fits, and its days; half a month has no number
+    forms = ((span, 1), (day, 1), (week, 7), (half, 0), (month, 30))
+    number = scale = None
+    for pattern, n in forms:
+        own = F.regexp_extract(t, pattern, 1) if n else F.lit("零")
+        number = F.when(t.rlike(pattern), own) if number is None else number.when(t.rlike(pattern), own)
+        scale = F.when(t.rlike(pattern), n) if scale is None else scale.when(t.rlike(pattern), n)
+    until = F.when(t.rlike(span), chinese_int(F.regexp_extract(t, span, 2)))
+    counted = F.when(scale == 0, 15).otherwise(F.greatest(chinese_int(number), until) * scale)
+    return F.when(c.rlike(IN_STOCK), 0).otherwise(counted).cast("int")
+
+
+def parse_lead_time(c: Column) -> Column:
+    """Days of a delivery term, the larger of a range; null if it can't be told. The first form that fits counts."""
+    return term_days(c, lead_term(c))
 
 
 def _folded(c: Column) -> Column:
@@ -110,13 +120,13 @@ def normalize_text(c: Column) -> Column:
     return _folded(F.translate(F.coalesce(c, F.lit("")), _WIDE, _NARROW))
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
-
-
 def normalize_nfkc(c: Column) -> Column:
     """normalize_text for any text; runs NFKC in Arrow batches, so give it distinct texts."""
+
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
     return _folded(nfkc(F.coalesce(c, F.lit(""))))
 
 
@@ -135,19 +145,21 @@ def provenance(c: Column) -> Column:
 
 def general(c: Column) -> Column:
     """A double with six significant digits and no trailing zeros, in exponent form below 1e-4 and from 1e6 on."""
-    e = F.format_string("%.5e", c)
-    exponent = F.regexp_extract(e, r"e([-+][0-9]+)$", 1).cast("int")
-    digits = F.regexp_replace(F.translate(F.regexp_extract(e, r"^-?([0-9.]+)e", 1), ".", ""), "0+$", "")
-    digits = F.when(digits == "", "0").otherwise(digits)
-    sign = F.when(F.startswith(e, F.lit("-")), "-").otherwise("")
-    whole = F.rpad(digits, 6, "0")
-    plain = F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)).otherwise(
-        F.concat(F.substring(whole, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.lit(9)))
-    )
-    plain = F.regexp_replace(plain, r"\.$", "")
-    mantissa = F.regexp_replace(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 9)), r"\.$", "")
-    power = F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    return F.when(c == 0, "0").when(exponent.between(-4, 5), F.concat(sign, plain)).otherwise(F.concat(sign, mantissa, power))
+
+    def parts(e: Column) -> Column:
+        digits = F.regexp_replace(F.translate(F.regexp_extract(e, r"^-?([0-9.]+)e", 1), ".", ""), "(?<=.)0+$", "")
+        return F.struct(F.regexp_extract(e, "^-?", 0).alias("sign"), F.regexp_extract(e, r"e([-+][0-9]+)$", 1).cast("int").alias("exponent"), digits.alias("digits"))
+
+    def text(p: Column) -> Column:
+        exponent, digits = p["exponent"], p["digits"]
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+        plain = F.concat(F.substring(F.rpad(digits, 6, "0"), F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.lit(9)))
+        power = F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 9), F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        shown = F.when(exponent.between(-4, -1), small).when(exponent.between(0, 5), plain).otherwise(power)
+        return F.concat(p["sign"], F.regexp_replace(shown, r"\.(?=e|$)", ""))
+
+    # lambdas, so that each step is made once
+    return F.when(c == 0, "0").otherwise(F.element_at(F.transform(F.transform(F.array(F.format_string("%.5e", c)), parts), text), 1))
 
 
 def signed(c: Column) -> Column:

@@ -33,8 +33,8 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.merge_last(C.keyed(D.quote_lines(spark, sf_dir)), D.ORDER)
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.apply_rules(D.raw_lines(spark, sf_dir))
+def _checked(spark: SparkSession, sf_dir: str, *rules: str) -> DataFrame:
+    return R.apply_rules(D.raw_lines(spark, sf_dir), rules=[r for r in R.RULES if r[0] in rules] if rules else R.RULES)
 
 
 def _cents(*names: str) -> list:
@@ -60,7 +60,7 @@ def text_chunks(spark, sf_dir):
     return rows.select("doc_id", "chunk_no", "n_chunks", F.length("chunk").alias("n_chars"), F.md5(F.encode("chunk", "UTF-8")).alias("chunk_md5"))
 
 
-@query(r"""SELECT doc_id, NOT contains(regexp_replace(text, '[\s|]+', '', 'g'), regexp_replace(snippet, '[\s|]+', '', 'g')) AS h1
+@query(r"""SELECT doc_id, snippet = '' OR NOT contains(regexp_replace(text, '[\s|]+', '', 'g'), regexp_replace(snippet, '[\s|]+', '', 'g')) AS h1
 FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN substr(text, 11, 30) || '~~no such words~~' ELSE substr(text, 11, 40) END AS snippet FROM documents)""")
 def h1_provenance(spark, sf_dir):
     """Snippets held against whole texts."""
@@ -68,8 +68,7 @@ def h1_provenance(spark, sf_dir):
     snippet = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("raw_text", 11, 30), F.lit("~~no such words~~"))).otherwise(F.substring("raw_text", 11, 40))
     lines = docs.select("source_file", "doc_id", snippet.alias("source_snippet"), F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("flags"))
     raw = docs.select("source_file", "raw_text", F.array().cast("array<string>").alias("low_ocr_lines"))
-    found = (T.provenance(F.col("source_snippet")) == "") | (F.col("source_snippet") != "")
-    return R.check_snippets(lines, raw).select("doc_id", (F.col("h1") & found).alias("h1"))
+    return R.check_snippets(lines, raw).select("doc_id", "h1")
 
 
 @query("""SELECT user_id, count(*) AS n_lines, count(*) FILTER (WHERE value / 100 < 0.85) AS n_low, count(*) FILTER (WHERE value / 100 < 0.85) > 0 AS has_low FROM events GROUP BY user_id""")
@@ -114,26 +113,26 @@ def normalize_key(spark, sf_dir):
 @query(f"WITH {D.SQL_RAW} SELECT source_file, line_no, quantity, unit_price FROM parsed")
 def parse_number(spark, sf_dir):
     """F1, V2."""
-    return _checked(spark, sf_dir).select("source_file", "line_no", "quantity", "unit_price")
+    return _checked(spark, sf_dir, "V2").select("source_file", "line_no", "quantity", "unit_price")
 
 
 @query(f"WITH {D.SQL_RAW} SELECT source_file, line_no, CAST(days AS INTEGER) AS lead_time_days FROM parsed")
 def parse_lead_time(spark, sf_dir):
     """F2, F3, V5."""
-    return _checked(spark, sf_dir).select("source_file", "line_no", "lead_time_days")
+    return _checked(spark, sf_dir, "V5").select("source_file", "line_no", "lead_time_days")
 
 
 @query(f"WITH {D.SQL_RAW} SELECT source_file, line_no, '必填字段缺失: ' || CASE WHEN item_name = ' ' AND unit_price_raw = '' THEN '物料名称、单价' WHEN item_name = ' ' THEN '物料名称' ELSE '单价' END AS message FROM raw WHERE item_name = ' ' OR unit_price_raw = ''")
 def required_fields(spark, sf_dir):
     """V1."""
-    return R.findings(_checked(spark, sf_dir)).filter("rule = 'V1'").select("source_file", "line_no", "message")
+    return R.findings(_checked(spark, sf_dir, "V1")).filter("rule = 'V1'").select("source_file", "line_no", "message")
 
 
 @query(f"""WITH {D.SQL_RAW} SELECT source_file, line_no, quantity, unit_price, amount, CASE WHEN amount = 0 THEN quantity * unit_price <> 0 ELSE abs(quantity * unit_price - amount) > 0.02 * abs(amount) END AS mismatch
 FROM parsed WHERE amount IS NOT NULL AND unit_price IS NOT NULL""")
 def amount_check(spark, sf_dir):
     """V3: lines whose amount can be checked."""
-    rows = _checked(spark, sf_dir).withColumn("amount", T.parse_number(F.col("amount_raw"))).filter("amount is not null and quantity is not null and unit_price is not null")
+    rows = _checked(spark, sf_dir, "V2", "V3").withColumn("amount", T.parse_number(F.col("amount_raw"))).filter("amount is not null and quantity is not null and unit_price is not null")
     return rows.select("source_file", "line_no", "quantity", "unit_price", "amount", F.array_contains("flags", "V3").alias("mismatch"))
 
 
@@ -141,13 +140,13 @@ def amount_check(spark, sf_dir):
 CASE WHEN remark = '不含税' THEN false WHEN remark = '含税' OR line_no = 4 THEN true END AS tax_included FROM raw""")
 def tax_tristate(spark, sf_dir):
     """V4."""
-    return _checked(spark, sf_dir).select("source_file", "line_no", "currency", "tax_included")
+    return _checked(spark, sf_dir, "V4").select("source_file", "line_no", "currency", "tax_included")
 
 
 @query(f"WITH {D.SQL_RAW} SELECT source_file, line_no, CASE unit WHEN ' PCS' THEN '件' WHEN 'Sets' THEN '套' ELSE unit END AS unit FROM raw")
 def unit_normalize(spark, sf_dir):
     """V6."""
-    return _checked(spark, sf_dir).select("source_file", "line_no", "unit")
+    return _checked(spark, sf_dir, "V6").select("source_file", "line_no", "unit")
 
 
 _G = "printf('%g', {0})"
@@ -331,7 +330,7 @@ def run_summary(spark, sf_dir):
 round(1 - count(*) FILTER (WHERE line_no IN (2, 3) AND l_returnflag = 'N') / count(*), 6) AS accuracy FROM parsed WHERE unit_price IS NOT NULL GROUP BY source_file""")
 def field_accuracy(spark, sf_dir):
     """A10: prices against a copy in which some are changed; flagged ones don't count as wrong."""
-    rows = _checked(spark, sf_dir).filter("unit_price is not null")
+    rows = _checked(spark, sf_dir, "V2").filter("unit_price is not null")
     wrong = F.col("line_no").isin(2, 3) & (F.col("amount_raw") == "")
     pairs = rows.select("source_file", (F.col("unit_price") + F.when(wrong, 1).otherwise(0)).alias("expected"), F.col("unit_price").alias("actual"), F.lit(False).alias("flagged"))
     out = P.accuracy(pairs, "source_file")

@@ -28,8 +28,12 @@ FINDINGS = "array<struct<rule_ord:int,part:int,rule:string,message:string>>"
 
 @dataclass
 class Outcome:
-    """values: new columns by name; flag: condition or None; findings: (condition, message) in order."""
+    """values: new columns by name; flag: condition or None; findings: (condition, message) in order.
 
+    before: steps of helper columns, made one after the other, for what is costly and used more than once.
+    """
+
+    before: list[dict[str, Column]] = field(default_factory=list)
     values: dict[str, Column] = field(default_factory=dict)
     flag: Column | None = None
     findings: list[tuple[Column, Column]] = field(default_factory=list)
@@ -46,53 +50,59 @@ def required(options: dict) -> Outcome:
 
 
 def numbers(options: dict) -> Outcome:
-    out, flags = Outcome(), []
+    out, flags = Outcome(before=[{}, {}]), []
     for raw, target, label in (("quantity_raw", "quantity", "数量"), ("unit_price_raw", "unit_price", "单价")):
-        text = T.strip(F.coalesce(F.col(raw), F.lit("")))
-        value, there = T.parse_number(text), text != ""
+        text, value = F.col(f"_{target}_text"), F.col(f"_{target}")
+        out.before[0][f"_{target}_text"] = T.strip(F.coalesce(F.col(raw), F.lit("")))
+        out.before[1][f"_{target}"] = T.parse_number(text)
+        there = text != ""
         odd, bad = there & T.ocr_confusion(text), there & value.isNull()
         out.findings += [
             (odd, F.concat(F.lit(f"{label}疑似 OCR 字符混淆（0/O、1/I/l），解析值需人工核对: "), T.quoted(text))),
             (bad, F.concat(F.lit(f"{label}无法解析为数值（保留原文）: "), T.quoted(text))),
         ]
         flags.append(odd | bad)
-        out.values[target] = F.coalesce(F.when(there, value), F.col(target))
+        out.values[target] = F.coalesce(value, F.col(target))
     out.flag = flags[0] | flags[1]
     return out
 
 
 def amounts(options: dict) -> Outcome:
-    text = T.strip(F.coalesce(F.col("amount_raw"), F.lit("")))
-    amount, calc = T.parse_number(text), F.col("quantity") * F.col("unit_price")
+    text, amount, calc = F.col("_amount_text"), F.col("_amount"), F.col("_calc")
     due = (text != "") & F.col("quantity").isNotNull() & F.col("unit_price").isNotNull()
-    unread = due & amount.isNull()
     off = F.when(amount == 0, calc != 0).otherwise(F.abs(calc - amount) > F.lit(float(options.get("amount_tolerance", AMOUNT_TOLERANCE))) * F.abs(amount))
-    off = F.coalesce(due & off, F.lit(False))
+    before = [
+        {"_amount_text": T.strip(F.coalesce(F.col("amount_raw"), F.lit(""))), "_calc": F.col("quantity") * F.col("unit_price")},
+        {"_amount": T.parse_number(text)},
+        {"_unread": due & amount.isNull(), "_off": F.coalesce(due & off, F.lit(False))},
+    ]
     message = F.concat(
         F.lit("金额不符: "), T.general(F.col("quantity")), F.lit("×"), T.general(F.col("unit_price")), F.lit("="), T.general(calc), F.lit(" ≠ 报价金额 "), T.general(amount), F.lit("（差额 "), T.signed(calc - amount), F.lit("）")
     )
-    return Outcome(flag=unread | off, findings=[(unread, F.concat(F.lit("金额无法解析为数值（保留原文）: "), T.quoted(text))), (off, message)])
+    unread = F.col("_unread")
+    return Outcome(before, flag=unread | F.col("_off"), findings=[(unread, F.concat(F.lit("金额无法解析为数值（保留原文）: "), T.quoted(text))), (F.col("_off"), message)])
 
 
 def currency_and_tax(options: dict) -> Outcome:
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    found = T.detect_currency(F.concat_ws(" ", blank("unit_price_raw"), blank("amount_raw"), blank("remark")))
+    found = F.col("_currency")
+    before = [{"_currency": T.detect_currency(F.concat_ws(" ", blank("unit_price_raw"), blank("amount_raw"), blank("remark")))}]
     other = found.isNotNull() & ~found.eqNullSafe(F.col("currency"))
     tax = T.detect_tax(F.concat_ws(" ", blank("remark"), blank("unit_price_raw"), blank("source_snippet")))
     message = F.concat(F.lit("原文币种疑似 "), found, F.lit("，与标记 "), blank("currency"), F.lit(" 不一致（已改为 "), found, F.lit("，未做换算）"))
-    return Outcome({"currency": F.coalesce(found, F.col("currency")), "tax_included": F.coalesce(F.col("tax_included"), tax)}, None, [(other, message)])
+    return Outcome(before, {"currency": F.coalesce(found, F.col("currency")), "tax_included": F.coalesce(F.col("tax_included"), tax)}, None, [(other, message)])
 
 
 def lead_times(options: dict) -> Outcome:
-    text = T.strip(F.coalesce(F.col("lead_time_raw"), F.lit("")))
-    days = T.parse_lead_time(text)
+    text, days = F.col("_lead_text"), F.col("_lead_days")
     bad = (text != "") & days.isNull()
-    return Outcome({"lead_time_days": F.coalesce(F.when(text != "", days), F.col("lead_time_days"))}, bad, [(bad, F.concat(F.lit("交期无法解析为天数（保留原文）: "), T.quoted(text)))])
+    before = [{"_lead_text": T.strip(F.coalesce(F.col("lead_time_raw"), F.lit("")))}, {"_lead_term": T.lead_term(text)}, {"_lead_days": T.term_days(text, F.col("_lead_term"))}]
+    return Outcome(before, {"lead_time_days": F.coalesce(days, F.col("lead_time_days"))}, bad, [(bad, F.concat(F.lit("交期无法解析为天数（保留原文）: "), T.quoted(text)))])
 
 
 def unit_names(options: dict) -> Outcome:
     known = F.create_map(*[F.lit(x) for kv in reverse_units(options.get("units", UNITS)).items() for x in kv])
-    return Outcome({"unit": F.coalesce(F.try_element_at(known, F.lower(T.strip(F.col("unit")))), F.col("unit"))})
+    return Outcome(values={"unit": F.coalesce(F.try_element_at(known, F.lower(T.strip(F.col("unit")))), F.col("unit"))})
 
 
 #: The rules in their order; findings carry the place in it. Extend by adding a (name, function) pair.
@@ -106,13 +116,15 @@ def apply_rules(lines: DataFrame, options: dict | None = None, rules=RULES) -> D
     rows = lines.withColumn("line_findings", F.array().cast(FINDINGS))
     for n, (name, rule) in enumerate(rules, 1):
         out = rule(options or {})
+        for step in out.before:
+            rows = rows.withColumns(step)
         new = dict(out.values)
         if out.flag is not None:
             new["flags"] = F.when(out.flag, F.array_union(F.coalesce("flags", F.array().cast("array<string>")), F.array(F.lit(name)))).otherwise(F.col("flags"))
         if out.findings:
             found = [F.when(when, F.struct(F.lit(n).alias("rule_ord"), F.lit(k).alias("part"), F.lit(name).alias("rule"), message.alias("message"))) for k, (when, message) in enumerate(out.findings)]
             new["line_findings"] = F.concat("line_findings", F.array_compact(F.array(*found)).cast(FINDINGS))
-        rows = rows.withColumns(new)
+        rows = rows.withColumns(new).drop(*[c for step in out.before for c in step])
     return rows
 
 
