@@ -110,10 +110,23 @@ def buckets(indexed: DataFrame) -> DataFrame:
     return checkpointed(indexed.repartition("key").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("n > 1"))
 
 
-def candidates(indexed: DataFrame, held: DataFrame, dense: int = DENSE) -> DataFrame:
+def members(rows: DataFrame, held: DataFrame, bits: int) -> DataFrame:
+    """(key, id) of the members of the buckets held, found again from the segments as they are.
+
+    A variant's members have one of two segments, with the wildcard's bit or without it. So only the segments,
+    not all their variants, meet the buckets.
+    """
+    slot, rest = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
+    bit = F.expr("shiftleft(1L, cast(slot % {0} as int))".format(bits))
+    both = held.select("key", slot.alias("slot"), rest.alias("rest")).select("key", F.expr(f"slot div {bits}").alias("i"), F.explode(F.array("rest", F.col("rest").bitwiseOR(bit))).alias("seg"))
+    plain = rows.select("id", F.posexplode("segs").alias("i", "seg")).select("id", F.col("i").cast("long").alias("i"), "seg")
+    return both.join(plain, ["i", "seg"]).select("key", "id")
+
+
+def candidates(rows: DataFrame, held: DataFrame, bits: int, dense: int = DENSE) -> DataFrame:
     """(a, b), a < b: ids that share a bucket of up to `dense` members."""
-    members = indexed.join(held.filter(f"n > 2 and n <= {dense}").select("key"), "key", "left_semi")
-    pairs = members.withColumnRenamed("id", "a").join(members.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b")
+    own = members(rows, held.filter(f"n > 2 and n <= {dense}").select("key"), bits)
+    pairs = own.withColumnRenamed("id", "a").join(own.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b")
     return held.filter("n = 2").select("a", "b").unionByName(pairs)
 
 
@@ -133,12 +146,11 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     """(a, b) of distinct fingerprints (column fp) that differ in two bits at most; of dense buckets enough of them to join the same components."""
     half = (1 << BITS // 2) - 1
     rows = fps.select(F.col("fp").alias("id"), F.array(F.col("fp").bitwiseAND(F.lit(half)), F.shiftrightunsigned("fp", BITS // 2)).alias("segs"))
-    indexed = variants(rows, BITS // 2)
-    held = buckets(indexed)
-    found = candidates(indexed, held, dense).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH).distinct()
+    held = buckets(variants(rows, BITS // 2))
+    found = candidates(rows, held, BITS // 2, dense).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH).distinct()
     crowded = held.filter(f"n > {dense}").select("key")
     if not crowded.isEmpty():
-        found = found.unionByName(_neighbours(indexed.join(crowded, "key", "left_semi").select(F.col("id").alias("fp")).distinct())).distinct()
+        found = found.unionByName(_neighbours(members(rows, crowded, BITS // 2).select(F.col("id").alias("fp")).distinct())).distinct()
     return found
 
 
@@ -173,15 +185,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     made = checkpointed(rows.mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, segs array<long>"))
     first = checkpointed(made.groupBy("segs").agg(F.min("doc_id").alias("id")))
-    indexed = variants(first.select("id", "segs"), SEGMENT_BITS)
-    held = buckets(indexed)
-    pairs = candidates(indexed, held, dense)
+    held = buckets(variants(first, SEGMENT_BITS))
+    pairs = candidates(first, held, SEGMENT_BITS, dense)
     crowded = held.filter(f"n > {dense}").select("key")
     if not crowded.isEmpty():
-        members = indexed.join(crowded, "key", "left_semi")
+        own = members(first, crowded, SEGMENT_BITS)
         order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-        heads = members.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("key", F.col("id").alias("h"))
-        stars = members.join(heads, "key").filter("id != h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+        heads = own.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("key", F.col("id").alias("h"))
+        stars = own.join(heads, "key").filter("id != h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
         pairs = pairs.unionByName(stars)
     pairs = checkpointed(pairs.distinct())
     off = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
