@@ -29,60 +29,57 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 K = 10
-#: Rows of the sample, of which the first PIVOTS are pivots; both bound what reaches the driver.
-SAMPLE, PIVOTS = 2048, 256
+#: Rows of the sample, of which the first ones are pivots, one for each PER_PIVOT rows up to PIVOTS; both bound what reaches the driver.
+SAMPLE, PIVOTS, PER_PIVOT = 2048, 256, 2048
 #: Most vectors of a page, and most queries that visit it together.
 PAGE, QUERIES = 4096, 2048
-LEAF, FANOUT = 64, 12
+LEAF, FANOUT = 512, 12
 SCALE = 1024
 
 
 class MTree:
-    """An M-tree over the rows of an array, bulk-loaded from the top."""
+    """An M-tree over the rows of an array, bulk-loaded from the top. `order` lists the rows so that each leaf is one run of it."""
 
     def __init__(self, points: np.ndarray):
-        self.points = points
-        #: of each node: parent distance, radius, routing row, children (leaf rows if it is a leaf)
-        self.routing, self.radius, self.children, self.leaf = [], [], [], []
-        self.to_parent: list[np.ndarray] = []
-        self._node(np.arange(len(points)), 0)
-
-    def _distances(self, row: int, rows: np.ndarray) -> np.ndarray:
-        d = self.points[rows] - self.points[row]
-        return np.sqrt(np.einsum("ij,ij->i", d, d))
-
-    def _node(self, rows: np.ndarray, routing: int) -> int:
-        me = len(self.routing)
-        d = self._distances(routing, rows)
+        #: of each node: routing point, radius, and children's distances to it; children of a leaf are a run of places
+        self.routing, self.radius, self.to_parent, self.children, self.leaf = [], [], [], [], []
+        self._order: list[np.ndarray] = []
+        self._placed = 0
+        self._node(points, np.arange(len(points)), points[0])
+        self.order = np.concatenate(self._order)
+        self.points_of = {n: np.array([self.routing[k] for k in kids]) for n, kids in enumerate(self.children) if not self.leaf[n]}
+        self.radii_of = {n: np.array([self.radius[k] for k in kids]) for n, kids in enumerate(self.children) if not self.leaf[n]}
+
+    def _node(self, points: np.ndarray, rows: np.ndarray, routing: np.ndarray) -> int:
+        me, d = len(self.routing), _distances(points[rows], routing)
         self.routing.append(routing)
-        self.radius.append(float(d.max(initial=0.0)))
-        self.children.append(None)
-        self.leaf.append(True)
-        self.to_parent.append(None)
-        if len(rows) <= LEAF or self.radius[me] == 0:
-            self.children[me], self.to_parent[me] = rows, d
+        self.radius.append(float(d.max()))
+        self.leaf.append(len(rows) <= LEAF or d.max() == 0)
+        self.to_parent.append(d)
+        self.children.append((self._placed, self._placed + len(rows)))
+        if self.leaf[me]:
+            self._order.append(rows)
+            self._placed += len(rows)
             return me
         # children around rows that lie far from each other
-        chosen, nearest, owner = [], np.full(len(rows), np.inf), np.zeros(len(rows), dtype=np.int64)
-        at = int(d.argmax())
-        for c in range(FANOUT):
-            chosen.append(int(rows[at]))
-            own = self._distances(chosen[-1], rows)
-            closer = own < nearest
-            nearest[closer], owner[closer] = own[closer], c
+        own, at = points[rows], int(d.argmax())
+        nearest, owner, chosen = np.full(len(rows), np.inf), np.zeros(len(rows), dtype=np.int64), []
+        for c in range(min(FANOUT, max(2, 2 * len(rows) // LEAF))):
+            chosen.append(own[at])
+            to = _distances(own, own[at])
+            closer = to < nearest
+            nearest[closer], owner[closer] = to[closer], c
             at = int(nearest.argmax())
             if nearest[at] == 0:
                 break
-        kids = [self._node(rows[owner == c], chosen[c]) for c in range(len(chosen)) if (owner == c).any()]
-        self.leaf[me] = False
+        kids = [self._node(points, rows[owner == c], p) for c, p in enumerate(chosen) if (owner == c).any()]
         self.children[me] = np.array(kids)
-        self.to_parent[me] = self._distances(routing, np.array([self.routing[k] for k in kids]))
+        self.to_parent[me] = _distances(np.array([self.routing[k] for k in kids]), routing)
         return me
 
-    def search(self, q: np.ndarray, take, bound: float) -> int:
-        """Hands leaf rows that can be nearer than the bound to take(rows) -> bound; nearest nodes first. Returns the distances computed."""
-        computed = 1
-        first = float(self._to(q, np.array([self.routing[0]]))[0])
+    def search(self, q: np.ndarray, take, bound: float) -> None:
+        """Hands runs of `order` that can be nearer than the bound to take(places) -> bound; nearest nodes first."""
+        first = float(_distances(self.routing[0][None], q)[0])
         queue = [(max(0.0, first - self.radius[0]), 0, first)]
         while queue:
             least, node, to_routing = heapq.heappop(queue)
@@ -90,27 +87,22 @@ class MTree:
                 break
             # |d(q, parent) - d(child, parent)| is no more than d(q, child)
             gap = np.abs(to_routing - self.to_parent[node])
-            kids = self.children[node]
             if self.leaf[node]:
-                kids = kids[gap <= bound]
-                if len(kids):
-                    computed += len(kids)
-                    bound = take(kids)
+                start, stop = self.children[node]
+                near = gap <= bound
+                bound = take(slice(start, stop) if near.all() else start + np.flatnonzero(near))
                 continue
-            radius = np.array([self.radius[k] for k in kids])
-            near = gap - radius <= bound
-            kids, radius = kids[near], radius[near]
-            if len(kids):
-                computed += len(kids)
-                d = self._to(q, np.array([self.routing[k] for k in kids]))
-                for k, dk, r in zip(kids.tolist(), d.tolist(), radius.tolist(), strict=True):
-                    if dk - r <= bound:
-                        heapq.heappush(queue, (max(0.0, dk - r), k, dk))
-        return computed
-
-    def _to(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        d = self.points[rows] - q
-        return np.sqrt(np.einsum("ij,ij->i", d, d))
+            radius = self.radii_of[node]
+            near = np.flatnonzero(gap - radius <= bound)
+            d = _distances(self.points_of[node][near], q)
+            for k, dk, r in zip(self.children[node][near].tolist(), d.tolist(), radius[near].tolist(), strict=True):
+                if dk - r <= bound:
+                    heapq.heappush(queue, (max(0.0, dk - r), k, dk))
+
+
+def _distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+    d = rows - point
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
@@ -146,24 +138,31 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search_page(left: pd.DataFrame, right: pd.DataFrame, k: int, width: int, m2: float) -> pd.DataFrame:
+    """The k best of a page for each of the queries that visit it."""
     out: list[tuple] = []
     if len(left) and len(right):
-        rows, ids = _matrix(left["v"].tolist(), width), left["vec_id"].to_numpy(dtype=np.int64)
+        rows = _matrix(left["v"].tolist(), width)
         tree = MTree(_lift(rows, m2))
+        rows, ids = rows[tree.order], left["vec_id"].to_numpy(dtype=np.int64)[tree.order]
+        plain, top = rows.astype(np.float64), float(np.abs(rows).max(initial=0))
         for qid, v, floor in zip(right["query_id"].tolist(), right["v"].tolist(), right["floor"].tolist(), strict=True):
             q = _matrix([v], width)[0]
-            q2 = float((q.astype(np.float64) ** 2).sum())
+            point = q.astype(np.float64)
+            q2, exact = float(point @ point), top * float(np.abs(q).max(initial=0)) * width < 2**53  # so doubles hold the sums
             held_s, held_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-            def take(found: np.ndarray, q=q, q2=q2, qid=qid, floor=floor) -> float:
+            def take(places, q=q, point=point, q2=q2, exact=exact, qid=qid, floor=floor) -> float:
                 nonlocal held_s, held_i
-                found = found[ids[found] != qid]
-                s, i = np.concatenate([held_s, _products(rows[found], q)]), np.concatenate([held_i, ids[found]])
+                s, i = (plain[places] @ point if exact else (rows[places] * q).sum(axis=1)), ids[places]
+                least = max(floor, held_s[-1]) if len(held_s) == k else floor
+                good = (s >= least) & (i != qid)
+                s, i = np.concatenate([held_s, s[good].astype(np.int64)]), np.concatenate([held_i, i[good]])
                 at = _best(s, i, k)
                 held_s, held_i = s[at], i[at]
-                return _reach(q2, m2, max(floor, float(held_s[-1])) if len(held_s) == k else floor)
+                least = max(floor, float(held_s[-1])) if len(held_s) == k else floor
+                return _reach(q2, m2, least) if least > -math.inf else math.inf
 
-            tree.search(np.append(q.astype(np.float64), 0.0), take, _reach(q2, m2, floor) if floor > -math.inf else math.inf)
+            tree.search(np.append(point, 0.0), take, _reach(q2, m2, floor) if floor > -math.inf else math.inf)
             out += [(qid, int(i), int(s)) for i, s in zip(held_i, held_s, strict=True)]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
@@ -185,13 +184,13 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, page: int = PAGE, ve
     of an id are candidates one by one, and queries one by one. Other columns are left out.
     """
     rows = checkpointed(quantised(vectors, vec_id, embedding))
-    most = rows.agg(F.max("n2"), F.max(F.size("v"))).first()
+    most = rows.agg(F.max("n2"), F.max(F.size("v")), F.count("*")).first()
     if most[0] is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     m2, width = float(most[0]), max(1, int(most[1]))
     sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     s_ids, s_rows = np.array([r.vec_id for r in sample]), _matrix([r.v for r in sample], width)
-    pivots = _lift(s_rows[:PIVOTS], m2)
+    pivots = _lift(s_rows[: min(PIVOTS, -(-most[2] // PER_PIVOT))], m2)
 
     def to_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squares = (pivots**2).sum(axis=1)
