@@ -111,15 +111,17 @@ def spliced(coder: SentencePieces, text: str, chunk: int = CHUNK, overlap: int =
     for, and so has the tokens of that space in it. Its first tokens can still differ from those of the whole
     text, so the splice must lie behind the chunk's start at a stable boundary where both chunks end a token.
     """
+    # the splice lies before the end of the first chunk: tokens without width, of a character's bytes, belong behind it
     text = text.replace(BLANK, " ")
     n, start, stop, held = 0, 0, 0, []
     while True:
         width = overlap
         start = _cut(text, stop - width) if stop else 0
-        last, stop = stop, len(text) if start + chunk >= len(text) - overlap else max(start + chunk, stop + overlap)
+        last, stop = stop, max(start + chunk, stop + overlap if start else 2 * stop)
+        stop = len(text) if stop >= len(text) - overlap else stop
         while True:
             ends = [start + e for e in coder.ends(text[start:stop])]
-            common = [c for c in sorted(set(held) & set(ends)) if start < c < len(text) and coder.stable(text, c)] if start else []
+            common = [c for c in sorted(set(held) & set(ends)) if start < c < last and coder.stable(text, c)] if start else []
             if common or not start:
                 break
             width *= 2
