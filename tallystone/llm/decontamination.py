@@ -32,6 +32,9 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def words(text: str) -> list[bytes]:
     """A text's words, A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -153,7 +156,7 @@ def cut(text: str, automata: list[Automaton]) -> str:
         found = _union([s for a in automata for s in a.match(words(text))[0]])
         if not found:
             return text
-        at = [m.span() for m in WORD.finditer(text)]
+        at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
         keep, last = [], 0
         for a, b in found:
             keep.append(text[last : at[a][0]])
