@@ -9,7 +9,7 @@ from .common import checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of edges (u, v) reaches.
+    """(node, label): the smallest node that each node of edges (u, v) reaches; the smallest nodes themselves have no row.
 
     Alternates large stars and small stars: a node's larger neighbours, then its smaller ones, are tied to the
     smallest node in sight, until nothing changes. That takes about as many rounds as the logarithm of the
