@@ -35,6 +35,9 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, ratio: int = RATIO):
         self.spark, self.path, self.target, self.ratio = spark, path.rstrip("/"), target_bytes, ratio
+        # merges are unions of single partitions, which must stay apart; Spark would zip them into one
+        self.apart = spark.newSession()
+        self.apart.conf.set("spark.sql.unionOutputPartitioning", "false")
         self.hadoop = spark._jvm.org.apache.hadoop.fs
         self.fs = self.hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -123,7 +126,7 @@ class ShardStore:
                 return held["version"]
             for at in range(0, len(runs), FILES_PER_JOB):
                 folder = f"data/merged-{uuid.uuid4().hex}"
-                parts = [self._read(held, run).coalesce(1) for run in runs[at : at + FILES_PER_JOB]]
+                parts = [self._read(held, run, self.apart).coalesce(1) for run in runs[at : at + FILES_PER_JOB]]
                 while len(parts) > 1:
                     parts = [parts[i].unionAll(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
                 parts[0].write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
@@ -134,11 +137,11 @@ class ShardStore:
             except ConflictError:
                 continue
 
-    def _read(self, held: dict, shards: list[dict]) -> DataFrame:
+    def _read(self, held: dict, shards: list[dict], session: SparkSession | None = None) -> DataFrame:
         from pyspark.sql.types import StructType
 
         schema = StructType.fromJson(json.loads(held["schema"]))
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{s['file']}" for s in shards])
+        return (session or self.spark).read.schema(schema).parquet(*[f"{self.path}/{s['file']}" for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with `shard`: the shard's place in the manifest. A column of that name is written over."""
