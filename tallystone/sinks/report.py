@@ -145,7 +145,7 @@ def report(run: Run) -> str:
     unsupported = run.failures.filter(F.startswith("reason", F.lit(P.UNSUPPORTED_MARK))).count()
     suppliers = [r.supplier_name for r in run.suppliers.orderBy("supplier_ord").collect()]
     groups = run.groups.agg(F.count("*").alias("n"), F.count_if("review").alias("review")).first()
-    out = ["报价单提取比价工具 · 处理报告", "=" * 40, f"处理文件数: {s.n_files + unsupported}", f"成功解析: {s.n_with_lines}", f"失败: {run.failures.count()}", f"报价行总数: {s.n_lines}"]
+    out = ["报价处理报告", "=" * 40, f"处理文件数: {s.n_files + unsupported}", f"成功解析: {s.n_with_lines}", f"失败: {run.failures.count()}", f"报价行总数: {s.n_lines}"]
     out += ["", "比价分析:", f"  供应商: {len(suppliers)} 家（{'、'.join(suppliers)}）", f"  物料组: {groups.n} 组", f"  缺报: {run.missing.count()} 条", f"  待人工确认匹配: {groups.review} 组"]
     out += [f"    - {r.note}" for r in run.notes.orderBy("kind", "o").toLocalIterator()] + [""]
     stats = P.file_stats(run.quotes, run.lines).select("source_file", "n_lines").join(run.quotes, "source_file").orderBy("source_file")
