@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
                 d[y][""] += 1
                 n[y][""] += sum(own.values())
         keys = list(n[0].keys() | n[1].keys())
-        yield pd.DataFrame({"stem": keys, **{f"{c}{y}": [x[y][k] for k in keys] for c, x in (("n", n), ("d", d)) for y in (0, 1)}})
+        if keys:
+            yield pd.DataFrame({"stem": keys, **{f"{c}{y}": [x[y][k] for k in keys] for c, x in (("n", n), ("d", d)) for y in (0, 1)}})
 
     stems = own.filter("not held").select("t", "y").mapInPandas(count, "stem string, n0 long, n1 long, d0 long, d1 long")
     stems = checkpointed(stems.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1")]).filter(f"stem = '' or d1 >= {LEAST_DOCS}"))
