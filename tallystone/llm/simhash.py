@@ -170,12 +170,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return made.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def _verified(pairs: DataFrame, rows: DataFrame, most_off: float) -> DataFrame:
+    """The pairs (a, b) whose fingerprints in rows (id, segs) differ in most_off of the bits at most."""
+    off = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = pairs.join(rows.select(F.col("id").alias("a"), F.col("segs").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("segs").alias("sb")), "b")
+    return both.filter(off <= int(most_off * SEGMENTS * SEGMENT_BITS)).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, most_off: float = MOST_OFF, dense: int = DENSE) -> DataFrame:
     """(doc_id, group_id): group_id is the smallest doc_id reachable over links of similar texts.
 
     Fingerprints have SEGMENTS * SEGMENT_BITS bits over the distinct shingles. Texts link if they differ in
     most_off of them at most and some segment differs in one bit at most; so a text with one shingle in ten
     changed is found nearly always, at a similarity of 0.8 two in three are. Equal fingerprints are one group.
+
+    A large group of copies would fill many buckets of variants. So texts that share a segment as it is are
+    linked first, each to the smallest id of the segment, and of each group found only the smallest id is
+    indexed under variants: a text that is like another member but not like that one stays apart.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
@@ -185,19 +196,24 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     made = checkpointed(rows.mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, segs array<long>"))
     first = checkpointed(made.groupBy("segs").agg(F.min("doc_id").alias("id")))
-    held = buckets(variants(first, SEGMENT_BITS))
-    pairs = candidates(first, held, SEGMENT_BITS, dense)
+    # first every segment as it is, by a star from its smallest id; what links there goes on by one document of each group
+    plain = first.select("id", F.posexplode("segs").alias("i", "seg"))
+    heads = plain.groupBy("i", "seg").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    equal = plain.join(heads, ["i", "seg"]).filter("a != id").select("a", F.col("id").alias("b")).distinct()
+    near = checkpointed(_verified(equal, first, most_off))
+    joined = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    apart = checkpointed(first.join(joined.select(F.col("node").alias("id")), "id", "left_anti"))
+    held = buckets(variants(apart, SEGMENT_BITS))
+    pairs = candidates(apart, held, SEGMENT_BITS, dense)
     crowded = held.filter(f"n > {dense}").select("key")
     if not crowded.isEmpty():
-        own = members(first, crowded, SEGMENT_BITS)
+        own = members(apart, crowded, SEGMENT_BITS)
         order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
         heads = own.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("key", F.col("id").alias("h"))
         stars = own.join(heads, "key").filter("id != h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
         pairs = pairs.unionByName(stars)
-    pairs = checkpointed(pairs.distinct())
-    off = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    both = pairs.join(first.select(F.col("id").alias("a"), F.col("segs").alias("sa")), "a").join(first.select(F.col("id").alias("b"), F.col("segs").alias("sb")), "b")
-    labels = components(both.filter(off <= int(most_off * SEGMENTS * SEGMENT_BITS)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = near.unionByName(_verified(pairs.distinct(), apart, most_off))
+    labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     ids = first.join(labels.withColumnRenamed("node", "id"), "id", "left").select("segs", F.coalesce("label", "id").alias("group_id"))
     return made.join(ids, "segs").select("doc_id", "group_id")
 
