@@ -9,8 +9,8 @@ Only distinct fingerprints are indexed; the documents of one come back at the en
 variants with two members gives its pair from its min and max alone. Larger ones are joined pair by pair if
 they have DENSE members at most; denser ones never are. near_duplicates() then indexes each of their
 fingerprints under itself and all that differ in one bit: two link if and only if they share such a neighbour,
-and all that share one link to its smallest, so no link is lost. similar_groups(), which works by similarity
-on wide fingerprints, compares the members of a dense bucket with LEADERS of them.
+and all that share one link to its smallest, so no link is lost. similar_groups(), which works by similarity,
+leaves them to its exact index: prefixes of the shingle sets.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
@@ -27,11 +27,16 @@ from .components import components
 
 BITS = 64
 SHINGLE, REACH, SEED = 3, 2, 42
-#: Members of a bucket up to which they are joined pair by pair, and members that all of a denser one meet.
-DENSE, LEADERS = 48, 16
-#: Of similar_groups(): words of a shingle, similarity, segments and their bits. Linked fingerprints differ in
-#: MOST_OFF of the bits at most, which is what a similarity of 0.8 gives, and a margin for chance.
-SIMILAR_SHINGLE, SEGMENTS, SEGMENT_BITS, MOST_OFF = 5, 10, 24, 0.167
+#: Members of a bucket up to which they are joined pair by pair.
+DENSE = 48
+#: Of similar_groups(): words of a shingle, segments, their bits, and segments indexed under variants.
+SIMILAR_SHINGLE, SEGMENTS, SEGMENT_BITS, INDEXED = 5, 10, 24, 4
+#: Shingles from which sets are large, and bits in which large ones of a similarity of 0.8 never differ (36 are expected).
+SURE_SIZE, FAR_OFF = 64, 84
+#: One text in SAMPLE is looked at for common shingles: those in COMMON of them at least, COMMON_KEYS at most.
+SAMPLE, COMMON, COMMON_KEYS = 8, 8, 100_000
+#: Rounds in which the exact index joins by stars before it makes pairs.
+ROUNDS = 1
 #: Rows of dropped ids up to which they are sent to every executor.
 SEND_ROWS = 2_000_000
 _BLOCK = 1 << 16
@@ -66,9 +71,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(majority(shingle_hashes(text, shingle, seed)), bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE, n: int = SEGMENTS, bits: int = SEGMENT_BITS, seed: int = SEED) -> list[int]:
-    """The segments of a text's SimHash of n * bits bits over its distinct shingles; zeros without words."""
-    h = np.unique(shingle_hashes(text, shingle, seed))
+def wide_bits(h: np.ndarray, n: int = SEGMENTS, bits: int = SEGMENT_BITS) -> list[int]:
+    """The segments of a SimHash of n * bits bits over distinct shingle hashes; zeros without any."""
     if not len(h):
         return [0] * n
     flags = []
@@ -170,63 +174,165 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return made.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, most_off: float) -> DataFrame:
-    """The pairs (a, b) whose fingerprints in rows (id, segs) differ in most_off of the bits at most."""
+def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text, shingle, seed))
+
+
+def _set_id(h: np.ndarray) -> int:
+    """A signed 64-bit hash of a shingle set."""
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+
+
+def _prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first hashes of a set of n, in the order of (count among the common ones, hash), of which a set with a similarity of 0.8 has one at least: n - ceil(0.8 n) + 1."""
+    if not len(h):
+        return h
+    rank = np.zeros(len(h), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rank = np.where(common[at] == h, counts[at], 0)
+    return h[np.lexsort((h, rank))][: len(h) - (4 * len(h) + 4) // 5 + 1]
+
+
+def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that many of a sample of the texts have, ascending, and their counts there. They only set the order of the prefixes: any order is exact."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_set(t, shingle) for t in pdf["text"].drop_duplicates()]
+            yield pd.DataFrame({"key": np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)})
+
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    held = sample.mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(f"n >= {COMMON}").orderBy(F.desc("n"), "key").limit(COMMON_KEYS).collect()
+    keys, counts = np.array([r.key for r in held], dtype=np.int64).view(np.uint64), np.array([r.n for r in held], dtype=np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is 0.8 at least: 9 * common >= 4 * (n of a + n of b).
+
+    Pairs of large sets that differ in over FAR_OFF bits are not fetched: at 0.8 that is over eight standard deviations away.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_set(t, shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"sid": np.array([_set_id(h) for h in sets], dtype=np.int64), "h": [h.view(np.int64) for h in sets]})
+
     off = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    both = pairs.join(rows.select(F.col("id").alias("a"), F.col("segs").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("segs").alias("sb")), "b")
-    return both.filter(off <= int(most_off * SEGMENTS * SEGMENT_BITS)).select("a", "b")
+    of = lambda side: first.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("segs").alias(f"s{side}"))
+    likely = pairs.join(of("a"), "a").join(of("b"), "b").filter("9 * least(na, nb) >= 4 * (na + nb)").filter((F.least("na", "nb") < SURE_SIZE) | (off <= FAR_OFF))
+    likely = checkpointed(likely.select("a", "b"))
+    need = first.join(likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid").select(F.col("id").alias("doc_id")).distinct()
+    need = checkpointed(need)
+    sets = rows.join(F.broadcast(need) if need.count() <= SEND_ROWS else need, "doc_id", "left_semi").mapInPandas(run, "sid long, h array<long>")
+    both = likely.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
+    return both.filter(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b").distinct()
+
+
+def _shared(first: DataFrame) -> DataFrame:
+    """(key, sid, n, i) of the prefix hashes that several sets have, i being the place in the prefix."""
+    indexed = first.select("sid", "n", F.posexplode("prefix").alias("i", "key")).repartition("key")
+    several = indexed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    return checkpointed(indexed.join(several, "key", "left_semi"))
+
 
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, size, sid, n, i, c) of _shared() in the buckets where several components (node, label) meet, c being the set's."""
+    rows = checkpointed(shared.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("key", "sid", "n", "i", F.coalesce("label", "sid").alias("c")))
+    mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("key", "size")
+    return checkpointed(rows.join(mixed, "key"))
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, most_off: float = MOST_OFF, dense: int = DENSE) -> DataFrame:
+
+def _stars(mixed: DataFrame, k: int) -> DataFrame:
+    """(a, b) of each bucket's sets with one of it, the first by a hash with seed k: what joins large groups before pairs are made."""
+    heads = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "sid"), "sid", "c")).alias("h")).select("key", F.col("h.sid").alias("hs"), F.col("h.c").alias("hc"))
+    stars = mixed.join(heads, "key").filter("c != hc")
+    return stars.select(F.least("sid", "hs").alias("a"), F.greatest("sid", "hs").alias("b")).distinct()
+
+
+def _unmet(mixed: DataFrame, dense: int) -> DataFrame:
+    """(a, b) of all sets of different components that may have a similarity of 0.8.
+
+    Two such sets share a hash of their prefixes, and from the first one that they share enough is left in
+    both. In buckets of over `dense` members components meet first and their members after that, so that the
+    pairs inside a large component are never made.
+    """
+    enough = "9 * least(na - ia, nb - ib) >= 4 * (na + nb)"
+    side = lambda rows, x: rows.select("key", *[F.col(k).alias(f"{v}{x}") for k, v in (("sid", "s"), ("n", "n"), ("i", "i"), ("c", "c"))])
+    few, many = mixed.filter(f"size <= {dense}"), mixed.filter(f"size > {dense}")
+    pairs = side(few, "a").join(side(few, "b"), "key").filter("ca < cb").filter(enough)
+    kinds = many.groupBy("key", "c").agg(F.max(F.expr("5 * n - 9 * i")).alias("most"), F.min("n").alias("least"))  # what members have left at most
+    of = lambda x: kinds.select("key", F.col("c").alias(f"c{x}"), F.col("most").alias(f"most{x}"), F.col("least").alias(f"least{x}"))
+    kinds = of("a").join(of("b"), "key").filter("ca < cb and mosta >= 4 * leastb and mostb >= 4 * leasta").select("key", "ca", "cb")
+    crowded = kinds.join(side(many, "a"), ["key", "ca"]).join(side(many, "b"), ["key", "cb"]).filter(enough)
+    both = pairs.select("sa", "sb").unionByName(crowded.select("sa", "sb"))
+    return both.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, dense: int = DENSE) -> DataFrame:
     """(doc_id, group_id): group_id is the smallest doc_id reachable over links of similar texts.
 
-    Fingerprints have SEGMENTS * SEGMENT_BITS bits over the distinct shingles. Texts link if they differ in
-    most_off of them at most and some segment differs in one bit at most; so a text with one shingle in ten
-    changed is found nearly always, at a similarity of 0.8 two in three are. Equal fingerprints are one group.
+    Texts link if and only if their sets of distinct shingle hashes have a Jaccard similarity of 0.8 at least;
+    every link is verified on the sets. Rows with null ids are left out.
 
-    A large group of copies would fill many buckets of variants. So texts that share a segment as it is are
-    linked first, each to the smallest id of the segment, and of each group found only the smallest id is
-    indexed under variants: a text that is like another member but not like that one stays apart.
+    Fingerprints of SEGMENTS * SEGMENT_BITS bits find most links: texts that share a segment as it is are held
+    against the smallest of the segment, then the smallest of each group against others by the variants of
+    INDEXED segments. What that misses is found by an exact index over all sets: _unmet() gives all pairs of
+    different groups that may be similar, members of large groups included.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    common, counts = _common(rows, shingle)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "segs": [wide_fingerprint(t, shingle) for t in pdf["text"]]})
-
-    made = checkpointed(rows.mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, segs array<long>"))
-    first = checkpointed(made.groupBy("segs").agg(F.min("doc_id").alias("id")))
-    # first every segment as it is, by a star from its smallest id; what links there goes on by one document of each group
-    plain = first.select("id", F.posexplode("segs").alias("i", "seg"))
-    heads = plain.groupBy("i", "seg").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    equal = plain.join(heads, ["i", "seg"]).filter("a != id").select("a", F.col("id").alias("b")).distinct()
-    near = checkpointed(_verified(equal, first, most_off))
-    joined = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    apart = checkpointed(first.join(joined.select(F.col("node").alias("id")), "id", "left_anti"))
-    held = buckets(variants(apart, SEGMENT_BITS))
-    pairs = candidates(apart, held, SEGMENT_BITS, dense)
-    crowded = held.filter(f"n > {dense}").select("key")
-    if not crowded.isEmpty():
-        own = members(apart, crowded, SEGMENT_BITS)
-        order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-        heads = own.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("key", F.col("id").alias("h"))
-        stars = own.join(heads, "key").filter("id != h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-        pairs = pairs.unionByName(stars)
-    found = near.unionByName(_verified(pairs.distinct(), apart, most_off))
-    labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    ids = first.join(labels.withColumnRenamed("node", "id"), "id", "left").select("segs", F.coalesce("label", "id").alias("group_id"))
-    return made.join(ids, "segs").select("doc_id", "group_id")
+            sets = [shingle_set(t, shingle) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "sid": np.array([_set_id(h) for h in sets], dtype=np.int64), "n": np.array([len(h) for h in sets], dtype=np.int64),
+                "segs": [wide_bits(h) for h in sets], "prefix": [_prefix(h, common, counts).view(np.int64) for h in sets],
+            })
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    made = checkpointed(rows.mapInPandas(run, f"doc_id {kind}, sid long, n long, segs array<long>, prefix array<long>"))
+    first = checkpointed(made.groupBy("sid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("segs").alias("segs"), F.first("prefix").alias("prefix")))
+    edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # every segment as it is, by a star from its smallest set
+    plain = first.select("sid", F.posexplode("segs").alias("i", "seg"))
+    heads = plain.groupBy("i", "seg").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    equal = plain.join(heads, ["i", "seg"]).filter("a != sid").select("a", F.col("sid").alias("b")).distinct()
+    near = checkpointed(_verified(equal, first, rows, shingle))
+    joined = components(edges(near))
+    # one set of each group by variants; what is crowded waits for the exact index
+    apart = checkpointed(first.join(joined.select(F.col("node").alias("sid")), "sid", "left_anti").select(F.col("sid").alias("id"), F.slice("segs", 1, INDEXED).alias("segs")))
+    pairs = candidates(apart, buckets(variants(apart, SEGMENT_BITS)), SEGMENT_BITS, dense).distinct()
+    near = checkpointed(near.unionByName(_verified(pairs, first, rows, shingle)))
+    joined = components(edges(near))
+    shared = _shared(first)
+    for k in range(ROUNDS):
+        near = checkpointed(near.unionByName(_verified(_stars(_mixed(shared, joined), k), first, rows, shingle)))
+        joined = components(edges(near))
+    found = near.unionByName(_verified(_unmet(_mixed(shared, joined), dense), first, rows, shingle))
+    labels = components(edges(found))
+    ids = first.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "id", F.coalesce("label", "sid").alias("label"))
+    least = ids.groupBy("label").agg(F.min("id").alias("group_id"))
+    return made.select("doc_id", "sid").join(ids.join(least, "label").select("sid", "group_id"), "sid").select("doc_id", "group_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", send_rows: int = SEND_ROWS, **options) -> DataFrame:
     """docs with one row of each group of similar texts: that of the smallest doc_id. All columns are kept.
 
-    Null, empty and blank texts are one group. Rows with null ids stay. Of rows that repeat an id one stays.
+    Null, empty and blank texts are one group. Rows with null ids stay. Of rows that repeat an id one stays; an
+    id that is the smallest of any group stays.
     """
     groups = checkpointed(similar_groups(docs, doc_id, text, **options))
-    gone = checkpointed(groups.filter("doc_id != group_id").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = groups.filter("doc_id != group_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = checkpointed(gone.join(groups.select(F.col("group_id").alias("_gone")), "_gone", "left_anti"))
     kept = docs.join(F.broadcast(gone) if gone.count() <= send_rows else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    again = groups.groupBy("doc_id").count().filter("count > 1")
     return kept if again.isEmpty() else kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.filter(F.col(doc_id).isNull()))
 
 

@@ -282,3 +282,46 @@ def test_pipeline(spark):
     assert not any(own.match(decontamination.words(r.text))[0] for r in kept.collect())
     final = corpus_pipeline.run(spark, DIR)
     assert final.columns == [*docs.columns, "shard"] and final.count() == kept.count()
+
+
+def shingles(t):
+    w = t.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(docs):
+    """The smallest id of each document's component of links with a Jaccard similarity of 0.8 at least."""
+    sets, holds = {d: shingles(t) for d, t in docs.items()}, {}
+    for d, s in sets.items():
+        for x in s:
+            holds.setdefault(x, set()).add(d)
+    near = [(a, b) for a, s in sets.items() for b in set().union(*(holds[x] for x in s)) if a < b and 5 * len(s & sets[b]) >= 4 * len(s | sets[b])]
+    return groups_of(near, docs)
+
+
+def changed(rnd, words, n):
+    """n words changed, apart from each other and from the ends: 5 n shingles of it."""
+    out = list(words)
+    for i in rnd.sample(range(5, len(words) - 5, 10), n):
+        out[i] = f"new{rnd.getrandbits(40)}"
+    return out
+
+
+def fresh(rnd, n):
+    return [f"w{rnd.getrandbits(40)}" for _ in range(n)]
+
+
+def left(spark, docs):
+    return {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(docs.items()), "doc_id int, text string")).collect()}
+
+
+def test_chains_of_copies_go_whole(spark):
+    """Each link of a chain is similar, its ends are not; big groups have members like texts that their smallest is not like."""
+    rnd, docs = random.Random(1), {}
+    for g in range(25):
+        w = fresh(rnd, 304)
+        for k in range(12):
+            docs[1000 * g + (k * 7) % 12] = " ".join(w)
+            w = changed(rnd, w, rnd.randint(1, 6))
+    want = similar(docs)
+    assert len(set(want.values())) == 25 and left(spark, docs) == set(want.values())
