@@ -3,11 +3,11 @@
 Only DataFrame functions run here. Offsets of all matches of a pattern come from the text cut at its
 matches: the lengths of the pieces and of the matches add up to the positions.
 
-The entropy method looks at candidate strings (long runs of key characters holding a letter and a digit).
-A window of WINDOW characters slides over a candidate; its character counts, and from them the sum of
+The entropy method looks at candidate strings (long runs of key characters holding a letter and a digit). A
+candidate with slashes is cut at its parts that are words or numbers; what stands between is looked at. A window of WINDOW characters slides over a candidate; its character counts, and from them the sum of
 c * log2(c), are updated for the one character that enters and the one that leaves. The window's Shannon
 entropy, log2(WINDOW) - sum / WINDOW, is held against the limit of the candidate's character class. The span
-runs from the first to the last window over the limit, unless the allow list knows the candidate or a
+runs from the first to the last window over the limit, unless an allow list knows the run or the span, or a
 pattern's span overlaps it.
 """
 
@@ -30,12 +30,18 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: Class of a candidate (the first that matches all of it) and the least entropy of a window, in bits.
 CLASSES = ((r"^[0-9a-fA-F]+$", 2.9), (r"^[^A-Z]+$|^[^a-z]+$", 3.5), (r"^[\s\S]+$", 3.7))
-#: Candidates that are no secrets: UUIDs, examples, paths and words joined by hyphens, dates and long repeats.
+_HUMP, _END = r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[A-Z][a-z]{2,})*", r"(?![^/])"
+#: Parts of a path that are words or numbers; others, and parts of one or two characters, stay together with their slashes.
+WORDLIKE = rf"(?=[^/]{{3}})(?:{_HUMP}(?:[-_](?:{_HUMP}|[0-9]+))*[-_]?[0-9]{{0,4}}|[0-9]{{3,8}}|[0-9]{{4}}-[0-9]{{2}}(?:-[0-9]{{2}})?){_END}"
+_PART = rf"(?!{WORDLIKE})[^/]+"
+RUN = rf"(?<![^/]){_PART}(?:/+{_PART})*"
+#: Runs that are no secrets: UUIDs and words joined by hyphens. Spans that aren't: examples, dates and long repeats.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example|placeholder|changeme|dummy",
-    r"/[^/]*/[^/]*/",
     r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}$",
+)
+ALLOW_SPAN = (
+    r"(?i)example|placeholder|changeme|dummy",
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
     r"(.)\1{7}",
 )
@@ -90,11 +96,16 @@ def _hot(candidate: Column) -> Column:
     return F.aggregate(moves, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def _entropy(text: Column, base: Column, allow=ALLOW) -> Column:
-    likely = lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~s.rlike("|".join(f"(?:{p})" for p in allow))
-    found = F.filter(_located(text, CANDIDATE), lambda x: likely(x["found"]))
-    hot = F.transform(found, lambda x: F.struct(x["start"].alias("start"), _hot(x["found"]).alias("hot")))
-    hot = F.filter(hot, lambda x: x["hot"]["first"].isNotNull())
+def _any(s: Column, patterns) -> Column:
+    return s.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+
+
+def _entropy(text: Column, base: Column, allow=ALLOW, allow_span=ALLOW_SPAN) -> Column:
+    likely = lambda s: (F.length(s) >= WINDOW) & s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~_any(s, allow)
+    shift = lambda c: F.transform(_located(c["found"], RUN), lambda r: F.struct((c["start"] + r["start"]).alias("start"), r["found"].alias("found")))
+    runs = F.filter(F.flatten(F.transform(_located(text, CANDIDATE), shift)), lambda x: likely(x["found"]))
+    hot = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["found"].alias("found"), _hot(x["found"]).alias("hot")))
+    hot = F.filter(hot, lambda x: x["hot"]["first"].isNotNull() & ~_any(F.substring(x["found"], x["hot"]["first"] + 1, x["hot"]["last"] - x["hot"]["first"] + WINDOW), allow_span))
     spans = F.transform(
         hot, lambda x: F.struct((x["start"] + x["hot"]["first"]).cast("long").alias("start"), F.lit(len(KINDS)).alias("rank"), (x["start"] + x["hot"]["last"] + WINDOW).cast("long").alias("end"), F.lit("entropy").alias("kind"))
     )
@@ -102,7 +113,7 @@ def _entropy(text: Column, base: Column, allow=ALLOW) -> Column:
     return F.when(text.rlike(CANDIDATE), apart.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def scan(docs: DataFrame, text: str = "text", allow=ALLOW) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", allow=ALLOW, allow_span=ALLOW_SPAN) -> DataFrame:
     """docs with `secrets`: spans (start, rank, end, kind) by start, then kind.
 
     Offsets are code points, the end exclusive. Null and empty texts have none; repeated rows are scanned one
@@ -111,7 +122,7 @@ def scan(docs: DataFrame, text: str = "text", allow=ALLOW) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*[_base(whole, k) for k in range(len(KINDS))])
     rows = docs.withColumn("base_spans", base)
-    return rows.withColumn("secrets", F.array_sort(F.concat("base_spans", _entropy(whole, F.col("base_spans"), allow)))).drop("base_spans")
+    return rows.withColumn("secrets", F.array_sort(F.concat("base_spans", _entropy(whole, F.col("base_spans"), allow, allow_span)))).drop("base_spans")
 
 
 def redact(scanned: DataFrame, text: str = "text", mask: str = "*") -> DataFrame:

@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import math
+import random
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +123,17 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.curriculum(empty).count() == 0
     out = mixing.curriculum(docs)
     assert set(docs.columns) <= set(out.columns)
+
+
+def test_secrets_with_slashes(spark):
+    rnd = random.Random(3)
+    key = lambda n: "".join(rnd.choices(string.ascii_letters + string.digits + "+/", k=n))
+    keys = [key(n) for n in (88, 172, 344) for _ in range(40)]
+    assert sum(k.count("/") >= 3 for k in keys) > 40
+    token = "x7Kq9Zt2Lm4Vb8Nc1Rw5Yp3D"
+    texts = [*(f"AccountKey: {k}" for k in keys), f"see /hooks/T0/B0/{token} now", f"/example/{token}", "/usr/local/share/articles/2024/my-title-10/page12", "aaaaaaaa1/" + token + "/2024-01-02"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [s for s in r.secrets if s.kind == "entropy"] for r in secrets.scan(rows).collect()}
+    n = len(keys)
+    assert [i for i in range(n) if not got[i]] == [] and got[n] and got[n + 1] and not got[n + 2] and got[n + 3]
+    assert all(texts[i][s.start : s.end] in keys[i] for i in range(n) for s in got[i])
