@@ -39,7 +39,7 @@ SAMPLE, COMMON, COMMON_KEYS = 8, 8, 100_000
 ROUNDS = 1
 #: Rows of dropped ids up to which they are sent to every executor.
 SEND_ROWS = 2_000_000
-_BLOCK = 1 << 16
+_BLOCK, _TEXTS = 1 << 16, 256
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -174,6 +174,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return made.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in pieces, so that the shingle sets of few texts are held at once."""
+    for pdf in batches:
+        for at in range(0, len(pdf), _TEXTS):
+            yield pdf.iloc[at : at + _TEXTS]
+
+
 def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> np.ndarray:
     """The distinct shingle hashes of a text, ascending."""
     return np.unique(shingle_hashes(text, shingle, seed))
@@ -201,7 +208,7 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes that many of a sample of the texts have, ascending, and their counts there. They only set the order of the prefixes: any order is exact."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _pieces(batches):
             sets = [shingle_set(t, shingle) for t in pdf["text"].drop_duplicates()]
             yield pd.DataFrame({"key": np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)})
 
@@ -219,7 +226,7 @@ def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame, shingle: int)
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _pieces(batches):
             sets = [shingle_set(t, shingle) for t in pdf["text"]]
             yield pd.DataFrame({"sid": np.array([_set_id(h) for h in sets], dtype=np.int64), "h": [h.view(np.int64) for h in sets]})
 
@@ -289,7 +296,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     common, counts = _common(rows, shingle)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _pieces(batches):
             sets = [shingle_set(t, shingle) for t in pdf["text"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "sid": np.array([_set_id(h) for h in sets], dtype=np.int64), "n": np.array([len(h) for h in sets], dtype=np.int64),

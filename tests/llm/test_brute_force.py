@@ -325,3 +325,29 @@ def test_chains_of_copies_go_whole(spark):
             w = changed(rnd, w, rnd.randint(1, 6))
     want = similar(docs)
     assert len(set(want.values())) == 25 and left(spark, docs) == set(want.values())
+
+
+def test_crowded_templates_hide_no_copies(spark):
+    """Unlike texts with a common passage crowd the buckets; the few copies among them are found, the others stay."""
+    rnd, docs = random.Random(2), {}
+    passage = fresh(rnd, 220)
+    for g in range(150):
+        w = passage + fresh(rnd, 80)
+        docs[10 * g] = " ".join(w)
+        if g % 3 == 0:
+            docs[10 * g + 5] = " ".join(changed(rnd, w, rnd.randint(1, 5)))
+    want = similar(docs)
+    assert len(set(want.values())) == 150 and left(spark, docs) == set(want.values())
+
+
+@pytest.mark.parametrize(("n", "least", "most"), [(300, 0.80, 0.85), (60, 0.80, 0.90), (300, 0.70, 0.80)])
+def test_the_limit_is_exact(spark, n, least, most):
+    """Pairs from 0.80 up are copies without a miss; pairs below stay, however near."""
+    rnd, docs = random.Random(n + round(100 * least)), {}
+    while len(docs) < 300:
+        w = fresh(rnd, n + 4)
+        k = next(k for k in rnd.sample(range(1, n // 10), n // 10 - 1) if least <= (n - 5 * k) / (n + 5 * k) < most)
+        docs[len(docs)] = " ".join(w)
+        docs[len(docs)] = " ".join(changed(rnd, w, k))
+    want = similar(docs)
+    assert len(set(want.values())) == (300 if most == 0.80 else 150) and left(spark, docs) == set(want.values())
