@@ -285,7 +285,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, group_id): group_id is the smallest doc_id reachable over links of similar texts.
 
     Texts link if and only if their sets of distinct shingle hashes have a Jaccard similarity of 0.8 at least;
-    every link is verified on the sets. Rows with null ids are left out.
+    every link is verified on the sets (but for pairs of large sets over FAR_OFF bits apart, see _verified()). Rows
+    with null ids are left out.
 
     Fingerprints of SEGMENTS * SEGMENT_BITS bits find most links: texts that share a segment as it is are held
     against the smallest of the segment, then the smallest of each group against others by the variants of
