@@ -133,4 +133,5 @@ def curriculum(docs: DataFrame, partitions: int | None = None, **options) -> Dat
 
 def op10_curriculum_mix(spark, sf_dir):
     rows = mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "passes", "first_position")
+    rows = rows.select("doc_id", "size", "source_size", "target", "taken", "passes", "first_position")
+    return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")

@@ -351,3 +351,8 @@ def test_the_limit_is_exact(spark, n, least, most):
         docs[len(docs)] = " ".join(changed(rnd, w, k))
     want = similar(docs)
     assert len(set(want.values())) == (300 if most == 0.80 else 150) and left(spark, docs) == set(want.values())
+
+
+def test_mix_comes_in_training_order(spark):
+    rows = [(r.first_position is not None, r.first_position or 0.0, r.doc_id) for r in queries.QUERIES["op10_curriculum_mix"](spark, DIR).collect()]
+    assert rows == sorted(rows) and any(r[0] for r in rows)
