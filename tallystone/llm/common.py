@@ -51,5 +51,9 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(spaced, " "), "")), F.lit(0)).cast("long")
 
 
-def executor_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name from `name` that df doesn't have, in any case of its letters."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ variants with two members gives its pair from its min and max alone. Larger ones
 they have DENSE members at most; denser ones never are. near_duplicates() then indexes each of their
 fingerprints under itself and all that differ in one bit: two link if and only if they share such a neighbour,
 and all that share one link to its smallest, so no link is lost. similar_groups(), which works by similarity,
-leaves them to its exact index: prefixes of the shingle sets.
+takes stars there and has an exact index behind them: prefixes of the shingle sets.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, fresh, table
 from .components import components
 
 BITS = 64
@@ -31,12 +31,12 @@ SHINGLE, REACH, SEED = 3, 2, 42
 DENSE = 48
 #: Of similar_groups(): words of a shingle, segments, their bits, and segments indexed under variants.
 SIMILAR_SHINGLE, SEGMENTS, SEGMENT_BITS, INDEXED = 5, 10, 24, 4
-#: Shingles from which sets are large, and bits in which large ones of a similarity of 0.8 never differ (36 are expected).
-SURE_SIZE, FAR_OFF = 64, 84
+#: Members of a variant bucket up to which similar_groups() takes all pairs of it.
+PAIRED = 8
+#: Shingles from which sets are large, and bits in which large ones of a similarity of 0.8 never differ (36 are expected, with a deviation of 5.6).
+SURE_SIZE, FAR_OFF = 64, 72
 #: One text in SAMPLE is looked at for common shingles: those in COMMON of them at least, COMMON_KEYS at most.
 SAMPLE, COMMON, COMMON_KEYS = 8, 8, 100_000
-#: Rounds in which the exact index joins by stars before it makes pairs.
-ROUNDS = 1
 #: Rows of dropped ids up to which they are sent to every executor.
 SEND_ROWS = 2_000_000
 _BLOCK, _TEXTS = 1 << 16, 256
@@ -161,9 +161,10 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, dense: int = DENSE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
 
-    Null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows of an id keep
-    their rows, and an id with two texts joins the components of both only where a fingerprint does. Other
-    columns are left out; an empty table has an empty result.
+    Null, empty and blank texts have fingerprint 0 and are linked like any other; very long texts are taken
+    whole. Repeated rows of an id keep their rows, and an id with two texts joins the components of both only
+    where a fingerprint does. A row with a null id gets the component of its fingerprint's other rows, null if
+    there are none. Other columns are left out, whatever their names; an empty table has an empty result.
     """
     made = checkpointed(fingerprints(docs, doc_id, text, shingle, seed))
     first = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -219,47 +220,79 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def _verified(pairs: DataFrame, first: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is 0.8 at least: 9 * common >= 4 * (n of a + n of b).
+def _sent(df: DataFrame) -> DataFrame:
+    """df, sent to every executor where it has SEND_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= SEND_ROWS else df
 
-    Pairs of large sets that differ in over FAR_OFF bits are not fetched: at 0.8 that is over eight standard deviations away.
+
+def _likely(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, b, off) of distinct pairs whose sizes allow a similarity of 0.8; off is the number of bits in which they differ.
+
+    Pairs of large sets that differ in over FAR_OFF bits are left out: at 0.8 that is over six standard deviations away.
     """
+    off = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    of = lambda side: first.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("segs").alias(f"s{side}"))
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b")
+    both = both.filter("9 * least(na, nb) >= 4 * (na + nb)").withColumn("off", off)
+    return checkpointed(both.filter(f"least(na, nb) < {SURE_SIZE} or off <= {FAR_OFF}").select("a", "b", "off"))
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, off) those that are the closest one of either set: no more than there are sets."""
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "off").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "off"))
+    best = both.groupBy("x").agg(F.min_by("y", "off").alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components (node, label)."""
+    for x in ("a", "b"):
+        pairs = pairs.join(_sent(labels.select(F.col("node").alias(x), F.col("label").alias(f"c{x}"))), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return pairs.filter("ca != cb").drop("ca", "cb")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is 0.8 at least, counted on the sets: 9 * common >= 4 * (n of a + n of b). Only their texts are looked up."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _pieces(batches):
             sets = [shingle_set(t, shingle) for t in pdf["text"]]
             yield pd.DataFrame({"sid": np.array([_set_id(h) for h in sets], dtype=np.int64), "h": [h.view(np.int64) for h in sets]})
 
-    off = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    of = lambda side: first.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("segs").alias(f"s{side}"))
-    likely = pairs.join(of("a"), "a").join(of("b"), "b").filter("9 * least(na, nb) >= 4 * (na + nb)").filter((F.least("na", "nb") < SURE_SIZE) | (off <= FAR_OFF))
-    likely = checkpointed(likely.select("a", "b"))
-    need = first.join(likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid").select(F.col("id").alias("doc_id")).distinct()
-    need = checkpointed(need)
-    sets = rows.join(F.broadcast(need) if need.count() <= SEND_ROWS else need, "doc_id", "left_semi").mapInPandas(run, "sid long, h array<long>")
-    both = likely.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
-    return both.filter(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b").distinct()
+    pairs = checkpointed(pairs.select("a", "b"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    need = checkpointed(reps.join(asked, "sid").select(F.col("id").alias("doc_id")).distinct())
+    texts = rows.join(_sent(need), "doc_id", "left_semi")
+    # an id may have other texts too, which nobody has asked for; repeated rows give the same set again
+    sets = checkpointed(texts.mapInPandas(run, "sid long, h array<long>").join(asked, "sid", "left_semi").dropDuplicates(["sid"]))
+    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
+    return both.filter(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
 def _shared(first: DataFrame) -> DataFrame:
-    """(key, sid, n, i) of the prefix hashes that several sets have, i being the place in the prefix."""
+    """(key, sid, n, i) of the prefix hashes that several sets have, i being the place in the prefix. One of them must have it so early that it can be the smaller set of a pair."""
     indexed = first.select("sid", "n", F.posexplode("prefix").alias("i", "key")).repartition("key")
-    several = indexed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    several = indexed.groupBy("key").agg(F.count("*").alias("c"), F.max(F.expr("n - 9 * i")).alias("least")).filter("c > 1 and least >= 0").select("key")
     return checkpointed(indexed.join(several, "key", "left_semi"))
 
 
 def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, size, sid, n, i, c) of _shared() in the buckets where several components (node, label) meet, c being the set's."""
-    rows = checkpointed(shared.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("key", "sid", "n", "i", F.coalesce("label", "sid").alias("c")))
+    rows = shared.join(_sent(labels.select(F.col("node").alias("sid"), "label")), "sid", "left").select("key", "sid", "n", "i", F.coalesce("label", "sid").alias("c"))
     mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("key", "size")
     return checkpointed(rows.join(mixed, "key"))
 
 
-def _stars(mixed: DataFrame, k: int) -> DataFrame:
-    """(a, b) of each bucket's sets with one of it, the first by a hash with seed k: what joins large groups before pairs are made."""
-    heads = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "sid"), "sid", "c")).alias("h")).select("key", F.col("h.sid").alias("hs"), F.col("h.c").alias("hc"))
-    stars = mixed.join(heads, "key").filter("c != hc")
-    return stars.select(F.least("sid", "hs").alias("a"), F.greatest("sid", "hs").alias("b")).distinct()
+def _enough(a: str, b: str) -> str:
+    """Whether two sets may have a similarity of 0.8 if this is the first hash of their prefixes that they share: what is left in both must do."""
+    return f"9 * least(n{a} - i{a}, n{b} - i{b}) >= 4 * (n{a} + n{b})"
+
+
+def _stars(mixed: DataFrame) -> DataFrame:
+    """(a, b) of each bucket's sets with the one that has fewest rarer hashes: of a family of copies the one that was changed least, which most of them are like."""
+    heads = mixed.groupBy("key").agg(F.min_by(F.struct("sid", "n", "i", "c"), "i").alias("h")).select("key", *[F.col(f"h.{x}").alias(f"{y}h") for x, y in (("sid", "s"), ("n", "n"), ("i", "i"), ("c", "c"))])
+    own = mixed.select("key", *[F.col(x).alias(f"{y}m") for x, y in (("sid", "s"), ("n", "n"), ("i", "i"), ("c", "c"))])
+    return own.join(heads, "key").filter("cm != ch").filter(_enough("m", "h")).select(F.col("sm").alias("a"), F.col("sh").alias("b"))
 
 
 def _unmet(mixed: DataFrame, dense: int) -> DataFrame:
@@ -269,29 +302,42 @@ def _unmet(mixed: DataFrame, dense: int) -> DataFrame:
     both. In buckets of over `dense` members components meet first and their members after that, so that the
     pairs inside a large component are never made.
     """
-    enough = "9 * least(na - ia, nb - ib) >= 4 * (na + nb)"
     side = lambda rows, x: rows.select("key", *[F.col(k).alias(f"{v}{x}") for k, v in (("sid", "s"), ("n", "n"), ("i", "i"), ("c", "c"))])
     few, many = mixed.filter(f"size <= {dense}"), mixed.filter(f"size > {dense}")
-    pairs = side(few, "a").join(side(few, "b"), "key").filter("ca < cb").filter(enough)
+    pairs = side(few, "a").join(side(few, "b"), "key").filter("ca < cb").filter(_enough("a", "b"))
     kinds = many.groupBy("key", "c").agg(F.max(F.expr("5 * n - 9 * i")).alias("most"), F.min("n").alias("least"))  # what members have left at most
     of = lambda x: kinds.select("key", F.col("c").alias(f"c{x}"), F.col("most").alias(f"most{x}"), F.col("least").alias(f"least{x}"))
     kinds = of("a").join(of("b"), "key").filter("ca < cb and mosta >= 4 * leastb and mostb >= 4 * leasta").select("key", "ca", "cb")
-    crowded = kinds.join(side(many, "a"), ["key", "ca"]).join(side(many, "b"), ["key", "cb"]).filter(enough)
-    both = pairs.select("sa", "sb").unionByName(crowded.select("sa", "sb"))
-    return both.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
+    crowded = kinds.join(side(many, "a"), ["key", "ca"]).join(side(many, "b"), ["key", "cb"]).filter(_enough("a", "b"))
+    return pairs.select(F.col("sa").alias("a"), F.col("sb").alias("b")).unionByName(crowded.select(F.col("sa").alias("a"), F.col("sb").alias("b")))
+
+
+def _by_variants(first: DataFrame) -> DataFrame:
+    """(a, b) of sets that share a whole segment or a one-wildcard variant of one of the first INDEXED: all pairs of small buckets, and stars around the smallest member of others."""
+    plain = first.select("sid", F.posexplode("segs").alias("i", "seg"))
+    heads = plain.groupBy("i", "seg").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    equal = plain.join(heads, ["i", "seg"]).filter("a != sid").select("a", F.col("sid").alias("b"))
+    indexed = first.select(F.col("sid").alias("id"), F.slice("segs", 1, INDEXED).alias("segs"))
+    held = buckets(variants(indexed, SEGMENT_BITS))
+    large = held.filter(f"n > {PAIRED}").select("key", "a")
+    around = members(indexed, large.select("key"), SEGMENT_BITS).join(large, "key").filter("a != id").select("a", F.col("id").alias("b"))
+    return equal.unionByName(candidates(indexed, held, SEGMENT_BITS, PAIRED)).unionByName(around)
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, dense: int = DENSE) -> DataFrame:
     """(doc_id, group_id): group_id is the smallest doc_id reachable over links of similar texts.
 
     Texts link if and only if their sets of distinct shingle hashes have a Jaccard similarity of 0.8 at least;
-    every link is verified on the sets (but for pairs of large sets over FAR_OFF bits apart, see _verified()). Rows
-    with null ids are left out.
-
-    Fingerprints of SEGMENTS * SEGMENT_BITS bits find most links: texts that share a segment as it is are held
-    against the smallest of the segment, then the smallest of each group against others by the variants of
-    INDEXED segments. What that misses is found by an exact index over all sets: _unmet() gives all pairs of
-    different groups that may be similar, members of large groups included.
+    every link is counted on the sets (but for pairs of large sets over FAR_OFF bits apart, see _likely()). Every
+    distinct set is indexed. Null, empty and blank texts have the same empty set; a text of fewer words than a
+    shingle has one shingle; very long texts are taken whole. Repeated rows of an id keep their rows, and an id
+    with several texts joins the groups of each. Rows with null ids are left out, other columns are not looked
+    at, and an empty table has an empty result.
+
+    Fingerprints of SEGMENTS * SEGMENT_BITS bits find most links, by segments and their variants. What that
+    misses, as near 0.8 it must, is found by an exact index over all sets: first each bucket's sets meet the one
+    of them that was changed least; what is still in different groups then meets wholly, by _unmet(). Of many
+    pairs only the closest of each set are looked up first, since the rest mostly lies in one group after that.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     common, counts = _common(rows, shingle)
@@ -305,41 +351,41 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             })
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    made = checkpointed(rows.mapInPandas(run, f"doc_id {kind}, sid long, n long, segs array<long>, prefix array<long>"))
-    first = checkpointed(made.groupBy("sid").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("segs").alias("segs"), F.first("prefix").alias("prefix")))
-    edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # every segment as it is, by a star from its smallest set
-    plain = first.select("sid", F.posexplode("segs").alias("i", "seg"))
-    heads = plain.groupBy("i", "seg").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    equal = plain.join(heads, ["i", "seg"]).filter("a != sid").select("a", F.col("sid").alias("b")).distinct()
-    near = checkpointed(_verified(equal, first, rows, shingle))
-    joined = components(edges(near))
-    # one set of each group by variants; what is crowded waits for the exact index
-    apart = checkpointed(first.join(joined.select(F.col("node").alias("sid")), "sid", "left_anti").select(F.col("sid").alias("id"), F.slice("segs", 1, INDEXED).alias("segs")))
-    pairs = candidates(apart, buckets(variants(apart, SEGMENT_BITS)), SEGMENT_BITS, dense).distinct()
-    near = checkpointed(near.unionByName(_verified(pairs, first, rows, shingle)))
-    joined = components(edges(near))
+    made = rows.mapInPandas(run, f"doc_id {kind}, sid long, n long, segs array<long>, prefix array<long>")
+    made = checkpointed(made.withColumn("row", F.monotonically_increasing_id()))  # fixed by being kept
+    reps = checkpointed(made.groupBy("sid").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count("*").alias("copies")))
+    again = checkpointed(made.select("sid", "row").join(reps.filter("copies > 1").select("sid", F.col("row").alias("kept")), "sid").filter("row != kept").select("row"))
+    first = made.join(_sent(again), "row", "left_anti").select("sid", "n", "segs", "prefix")
+
+    labels = None
+
+    def link(pairs: DataFrame) -> DataFrame:
+        """The components with the links among the pairs."""
+        found = _verified(pairs, reps, rows, shingle).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+
+    labels = link(_closest(_likely(_by_variants(first), first)))
     shared = _shared(first)
-    for k in range(ROUNDS):
-        near = checkpointed(near.unionByName(_verified(_stars(_mixed(shared, joined), k), first, rows, shingle)))
-        joined = components(edges(near))
-    found = near.unionByName(_verified(_unmet(_mixed(shared, joined), dense), first, rows, shingle))
-    labels = components(edges(found))
-    ids = first.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "id", F.coalesce("label", "sid").alias("label"))
+    labels = link(_closest(_likely(_stars(_mixed(shared, labels)), first)))
+    pairs = _likely(_unmet(_mixed(shared, labels), dense), first)
+    labels = link(_closest(pairs))
+    labels = link(_apart(pairs, labels))
+    ids = reps.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "id", F.coalesce("label", "sid").alias("label"))
     least = ids.groupBy("label").agg(F.min("id").alias("group_id"))
     return made.select("doc_id", "sid").join(ids.join(least, "label").select("sid", "group_id"), "sid").select("doc_id", "group_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", send_rows: int = SEND_ROWS, **options) -> DataFrame:
-    """docs with one row of each group of similar texts: that of the smallest doc_id. All columns are kept.
+    """docs with one row of each group of similar texts: that of the smallest doc_id. All columns are kept, whatever their names.
 
     Null, empty and blank texts are one group. Rows with null ids stay. Of rows that repeat an id one stays; an
-    id that is the smallest of any group stays.
+    id that is the smallest of any group stays. Very long texts are compared whole; an empty table stays empty.
     """
     groups = checkpointed(similar_groups(docs, doc_id, text, **options))
-    gone = groups.filter("doc_id != group_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = checkpointed(gone.join(groups.select(F.col("group_id").alias("_gone")), "_gone", "left_anti"))
-    kept = docs.join(F.broadcast(gone) if gone.count() <= send_rows else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = groups.filter("doc_id != group_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = checkpointed(gone.join(groups.select(F.col("group_id").alias(name)), name, "left_anti"))
+    kept = docs.join(F.broadcast(gone) if gone.count() <= send_rows else gone, F.col(doc_id) == F.col(name), "left_anti")
     again = groups.groupBy("doc_id").count().filter("count > 1")
     return kept if again.isEmpty() else kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.filter(F.col(doc_id).isNull()))
 

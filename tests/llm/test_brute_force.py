@@ -110,12 +110,16 @@ def test_near_copies_are_found(spark):
     assert simhash.keep_first(spark.createDataFrame(list(crowd.items()), "doc_id int, text string")).count() == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, few):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(50)] + [(rnd.randint(100, 400), rnd.randint(100, 400)) for _ in range(150)] + [(7, 7), (None, 3)]
-    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u int, v int")).collect()}
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u int, v int"), few).collect()}
     pairs = [(a, b) for a, b in edges if a is not None and a != b]
     assert got == {n: g for n, g in groups_of(pairs, {x for p in pairs for x in p}).items() if n != g}
+    names = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y")], "u string, v string")
+    assert {r.node: r.label for r in components.components(names, few).collect()} == {"b": "a", "c": "a", "z": "y"}
+    assert components.components(names.limit(0), few).count() == 0
 
 
 def test_decontamination(spark, texts):
