@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..workspace import checkpointed, discard, scratch, shared_dir  # noqa: F401
 
 #: ASCII white space, the separators of the word contracts.
 WHITE = " \t\n\x0b\x0c\r"
+#: Rows of a table of a few narrow columns up to which it is sent to every executor.
+SEND_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -18,27 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        held = sc._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tallystone-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def sent(df: DataFrame, most: int = SEND_ROWS) -> DataFrame:
+    """df, sent to every executor if it has `most` rows at most; Spark joins it as it sees fit beyond that."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def ascii_lower(c: Column) -> Column:
@@ -57,3 +44,39 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in held:
         name += "_"
     return name
+
+
+def added(rows: DataFrame, reads: list[str], results: str, start: Callable[[], Callable[..., list[list]]], block_bytes: int = 0) -> DataFrame:
+    """rows with result columns (a DDL string), computed from the columns `reads` batch by batch.
+
+    start() gives, once a partition, a function from lists of values to a list for each result. All columns of
+    rows pass by as they are, in Arrow; where rows has a result's name already, the result gets underscores.
+    Batches are put together until they have block_bytes.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    own = StructType.fromDDL(results)
+    own = StructType([StructField(fresh(rows, f.name), f.dataType) for f in own.fields])
+    at, kinds, names = [rows.columns.index(c) for c in reads], [to_arrow_type(f.dataType) for f in own.fields], [*rows.columns, *own.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            made = f(*[[x for b in held for x in b.column(k).to_pylist()] for k in at])
+            made, first = [pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)], 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns, *[x.slice(first, b.num_rows) for x in made]], names=names)
+                first += b.num_rows
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                f = f or start()
+                held.append(batch)
+                if sum(b.nbytes for b in held) >= block_bytes:
+                    yield from done()
+        if held:
+            yield from done()
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *own.fields]))

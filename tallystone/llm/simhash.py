@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, table
+from .common import SEND_ROWS, added, checkpointed, fresh, sent, table
 from .components import components
 
 BITS = 64
@@ -37,8 +37,6 @@ PAIRED = 8
 SURE_SIZE, FAR_OFF = 64, 72
 #: One text in SAMPLE is looked at for common shingles: those in COMMON of them at least, COMMON_KEYS at most.
 SAMPLE, COMMON, COMMON_KEYS = 8, 8, 100_000
-#: Rows of dropped ids up to which they are sent to every executor.
-SEND_ROWS = 2_000_000
 _BLOCK, _TEXTS = 1 << 16, 256
 
 
@@ -88,13 +86,8 @@ def wide_bits(h: np.ndarray, n: int = SEGMENTS, bits: int = SEGMENT_BITS) -> lis
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
-
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long")
+    return added(rows, ["text"], "fp long", lambda: lambda texts: [[_signed(fingerprint(t, shingle, seed)) for t in texts]]).drop("text")
 
 
 def _signed(x: int) -> int:
@@ -220,11 +213,6 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """df, sent to every executor where it has SEND_ROWS rows at most."""
-    return F.broadcast(df) if df.count() <= SEND_ROWS else df
-
-
 def _likely(pairs: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b, off) of distinct pairs whose sizes allow a similarity of 0.8; off is the number of bits in which they differ.
 
@@ -247,7 +235,7 @@ def _closest(pairs: DataFrame) -> DataFrame:
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b) that lie in different components (node, label)."""
     for x in ("a", "b"):
-        pairs = pairs.join(_sent(labels.select(F.col("node").alias(x), F.col("label").alias(f"c{x}"))), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+        pairs = pairs.join(sent(labels.select(F.col("node").alias(x), F.col("label").alias(f"c{x}"))), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
     return pairs.filter("ca != cb").drop("ca", "cb")
 
 
@@ -262,7 +250,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, shingle: int)
     pairs = checkpointed(pairs.select("a", "b"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     need = checkpointed(reps.join(asked, "sid").select(F.col("id").alias("doc_id")).distinct())
-    texts = rows.join(_sent(need), "doc_id", "left_semi")
+    texts = rows.join(sent(need), "doc_id", "left_semi")
     # an id may have other texts too, which nobody has asked for; repeated rows give the same set again
     sets = checkpointed(texts.mapInPandas(run, "sid long, h array<long>").join(asked, "sid", "left_semi").dropDuplicates(["sid"]))
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
@@ -278,7 +266,7 @@ def _shared(first: DataFrame) -> DataFrame:
 
 def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, size, sid, n, i, c) of _shared() in the buckets where several components (node, label) meet, c being the set's."""
-    rows = shared.join(_sent(labels.select(F.col("node").alias("sid"), "label")), "sid", "left").select("key", "sid", "n", "i", F.coalesce("label", "sid").alias("c"))
+    rows = shared.join(sent(labels.select(F.col("node").alias("sid"), "label")), "sid", "left").select("key", "sid", "n", "i", F.coalesce("label", "sid").alias("c"))
     mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("key", "size")
     return checkpointed(rows.join(mixed, "key"))
 
@@ -355,7 +343,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     made = checkpointed(made.withColumn("row", F.monotonically_increasing_id()))  # fixed by being kept
     reps = checkpointed(made.groupBy("sid").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count("*").alias("copies")))
     again = checkpointed(made.select("sid", "row").join(reps.filter("copies > 1").select("sid", F.col("row").alias("kept")), "sid").filter("row != kept").select("row"))
-    first = made.join(_sent(again), "row", "left_anti").select("sid", "n", "segs", "prefix")
+    first = made.join(sent(again), "row", "left_anti").select("sid", "n", "segs", "prefix")
 
     labels = None
 
@@ -385,7 +373,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", send
     name = fresh(docs, "gone")
     gone = groups.filter("doc_id != group_id").select(F.col("doc_id").alias(name)).distinct()
     gone = checkpointed(gone.join(groups.select(F.col("group_id").alias(name)), name, "left_anti"))
-    kept = docs.join(F.broadcast(gone) if gone.count() <= send_rows else gone, F.col(doc_id) == F.col(name), "left_anti")
+    kept = docs.join(sent(gone, send_rows), F.col(doc_id) == F.col(name), "left_anti")
     again = groups.groupBy("doc_id").count().filter("count > 1")
     return kept if again.isEmpty() else kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.filter(F.col(doc_id).isNull()))
 
