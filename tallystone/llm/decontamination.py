@@ -6,7 +6,7 @@ words; an item with fewer words marks its words where it occurs whole. For each
 items that hold it, so a marked run also tells its items.
 
 Words that no item has reset the automaton, so only runs of known words are walked. Items are dealt into
-shards of bounded size, one automaton each, and a batch of documents meets one after the other; the automata
+shards of bounded size, one automaton each, and a block of documents meets one after the other; the automata
 of larger item sets need more time, not more memory.
 """
 
@@ -17,17 +17,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import added, checkpointed, fresh, table
 
 WINDOW = 10
 #: A document goes wholly if at least this part of its words is marked; else the marked spans go.
 MAX_COVERAGE = 0.5
 #: UTF-8 bytes of the items of one automaton.
 SHARD_BYTES = 4_000_000
+#: Bytes of documents for which a task goes through several automata once.
+BLOCK_BYTES = 64 << 20
+RESULTS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -150,18 +152,60 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without spans of its words."""
+    at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
+    keep, last = [], 0
+    for a, b in spans:
+        keep.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return " ".join(x for x in (*keep, text[last:]) if x)
+
+
 def cut(text: str, automata: list[Automaton]) -> str:
     """A text without marked spans, also without those that come up where the rest meets."""
-    while True:
-        found = _union([s for a in automata for s in a.match(words(text))[0]])
-        if not found:
-            return text
-        at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
-        keep, last = [], 0
-        for a, b in found:
-            keep.append(text[last : at[a][0]])
-            last = at[b - 1][1]
-        text = " ".join(x for x in (*keep, text[last:]) if x)
+    while found := _union([s for a in automata for s in a.match(words(text))[0]]):
+        text = without(text, found)
+    return text
+
+
+class Shards:
+    """The automata of an item set's shards, one after the other; a single one is kept, of several only one is there at a time."""
+
+    def __init__(self, sent: list, window: int):
+        self.sent, self.window = sent, window
+        self.only = Automaton(sent[0].value, window) if len(sent) == 1 else None
+
+    def __iter__(self) -> Iterator[Automaton]:
+        if self.only:
+            yield self.only
+            return
+        for part in self.sent:
+            yield Automaton(part.value, self.window)
+            part.__dict__.pop("_value", None)  # it is read again from the executor's copy
+
+    def match(self, texts: list[str | None]) -> list[tuple[list, set]]:
+        """(spans, items) of each text."""
+        spans, held = [[] for _ in texts], [set() for _ in texts]
+        for own in self:
+            for k, t in enumerate(texts):
+                if t is not None:
+                    more, found = own.match(words(t))
+                    if more:
+                        spans[k] += more
+                        held[k] |= found
+        return [(_union(s), h) for s, h in zip(spans, held, strict=True)]
+
+    def cut(self, texts: list[str], spans: list[list]) -> list[str]:
+        """Texts without the spans, and without what is marked in the rest."""
+        texts = [without(t, s) for t, s in zip(texts, spans, strict=True)]
+        at = list(range(len(texts)))
+        while at:
+            found = self.match([texts[k] for k in at])
+            at, again = [k for k, (s, _) in zip(at, found, strict=True) if s], [s for s, _ in found if s]
+            for k, s in zip(at, again, strict=True):
+                texts[k] = without(texts[k], s)
+        return texts
 
 
 def decontaminate(
@@ -177,50 +221,48 @@ def decontaminate(
     clean: bool = True,
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, items (sorted as strings), spans (of words), and with clean=True dropped and clean_text.
+    """One row for each document: doc_id, the columns in `columns`, n_words, n_hit, items (sorted as strings), spans (of words), and with clean=True dropped and clean_text.
 
     clean_text is the text without marked spans; a document of which max_coverage or more is marked has
-    dropped=true and an empty clean_text. Null and empty texts have no words and are kept as they are. Null
-    item ids and items without words mark nothing; no items: nothing is marked. Repeated rows are judged one
-    by one. Of docs' other columns those in `columns` are kept.
+    dropped=true and an empty clean_text. Null and empty texts have no words and are kept as they are, very long
+    ones are taken whole. Null item ids and items without words mark nothing; no items: nothing is marked; equal
+    items are all named. Repeated rows are judged one by one; an empty table has an empty result. A result whose
+    name is in `columns` gets underscores behind it; docs' other columns are left out.
+
+    Items are sent in shards of up to shard_bytes, and documents aren't moved. One shard's automaton is built
+    once by a task; with more shards a task builds one after the other for each BLOCK_BYTES of its documents, so
+    that more items take more time and not more memory.
     """
     spark = docs.sparkSession
     small = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
     n_bytes = small.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, math.ceil(n_bytes / shard_bytes))
-    sent = [spark.sparkContext.broadcast([(r.i, r.t) for r in small.filter(F.pmod(F.xxhash64("i"), F.lit(shards)) == s).collect()]) for s in range(shards)]
-
-    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        only = Automaton(sent[0].value, window) if shards == 1 else None
-        for pdf in batches:
-            texts = pdf["_text"].tolist()
-            tokens = [words(t) if t is not None else [] for t in texts] if shards > 1 else None
-            n_words, spans, held = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
-            for part in sent:
-                own = only or Automaton(part.value, window)
-                for k, t in enumerate(texts):
-                    if t is None:
-                        continue
-                    w = tokens[k] if tokens else words(t)
-                    n_words[k] = len(w)
-                    more, found = own.match(w)
-                    if more:
-                        spans[k] += more
-                        held[k] |= found
-            spans = [_union(s) for s in spans]
-            out = pdf.drop(columns="_text").assign(n_words=n_words, n_hit=[sum(b - a for a, b in s) for s in spans], items=[sorted(h) for h in held], spans=[[{"start": a, "end": b} for a, b in s] for s in spans])
+    dealt = small.withColumn("s", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
+    dealt = dealt if shards == 1 else checkpointed(dealt)
+    sent = [spark.sparkContext.broadcast([(r.i, r.t) for r in dealt.filter(F.col("s") == s).collect()]) for s in range(shards)]
+
+    def start():
+        parts = Shards(sent, window)
+
+        def judge(texts: list[str | None]) -> list[list]:
+            found = parts.match(texts)
+            spans, n_words = [s for s, _ in found], [0 if t is None else len(words(t)) for t in texts]
+            n_hit = [sum(b - a for a, b in s) for s in spans]
+            out = [n_words, n_hit, [sorted(h) for _, h in found], [[{"start": a, "end": b} for a, b in s] for s in spans]]
             if clean:
-                hit = [k for k, s in enumerate(spans) if s]
-                gone = [bool(s) and sum(b - a for a, b in s) >= max_coverage * n for s, n in zip(spans, n_words, strict=True)]
-                automata = ([only] if only else [Automaton(p.value, window) for p in sent]) if hit else []
-                for k in hit:
-                    texts[k] = "" if gone[k] else cut(texts[k], automata)
-                out = out.assign(dropped=gone, clean_text=texts)
-            yield out
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *columns, F.col(text).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(marks, f"{kept}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" + ", dropped boolean, clean_text string" * clean)
+                gone = [bool(s) and h >= max_coverage * n for s, h, n in zip(spans, n_hit, n_words, strict=True)]
+                kept, hit = [None if t is None else "" if g else t for t, g in zip(texts, gone, strict=True)], [k for k, s in enumerate(spans) if s and not gone[k]]
+                for k, t in zip(hit, parts.cut([texts[k] for k in hit], [spans[k] for k in hit]), strict=True):
+                    kept[k] = t
+                out += [gone, kept]
+            return out
+
+        return judge
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(f"`{c}`") for c in columns])
+    own = fresh(rows, "text")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(f"`{c}`") for c in columns], F.col(text).alias(own))
+    return added(rows, [own], RESULTS + ", dropped boolean, clean_text string" * clean, start, BLOCK_BYTES if shards > 1 else 0).drop(own)
 
 
 def op3_decontaminate(spark, sf_dir):
