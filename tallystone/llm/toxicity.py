@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import added, checkpointed, fresh, table
 
-#: Bounds of what is fitted: labelled rows (chosen by a hash of the id) and stems of the lexicon.
-FIT_ROWS, STEMS = 20_000, 2000
+#: Labelled rows that are fitted at most, chosen by a hash of the id. They bound the lexicon too: a stem must be in LEAST_DOCS of them.
+FIT_ROWS = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Toxic documents that must have a stem, and the least likelihood ratio (G) of its share among them.
 LEAST_DOCS, LEAST_G = 3, 18.0
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
     cells = [(F.col("d1"), of.d1, having), (F.col("d0"), of.d0, having), (of.d1 - F.col("d1"), of.d1, whole - having), (of.d0 - F.col("d0"), of.d0, whole - having)]
     g = 2 * sum((part(*c) for c in cells), F.lit(0.0))
     best = stems.filter("stem != ''").select("stem", rate.alias("weight"), g.alias("g")).filter(f"g >= {LEAST_G} and weight >= 1 and d1 * {of.d0} > d0 * {of.d1}")
-    weights = {r.stem: float(r.weight) for r in best.orderBy(F.desc("g"), "stem").limit(STEMS).collect()}
+    weights = {r.stem: float(r.weight) for r in best.collect()}
     lexicon = Lexicon(weights, tuple(exceptions))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,26 +164,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
     return lexicon
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `score`, from the text alone. Null and empty texts have no words and get the curve's value there."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """docs with `score` (`score_` if docs has such a column), from the text alone; all columns stay, whatever their names.
+
+    Null and empty texts have no words and get the curve's value there; very long texts are read whole. Repeated
+    rows are scored one by one; an empty table has an empty result.
+    """
+
+    def start():
         automaton = lexicon.automaton()
-        for pdf in batches:
-            x = np.array([lexicon.features(automaton, t) for t in pdf[text]]).reshape(-1, 3)
-            yield pdf.drop(columns=drop).assign(score=lexicon.score(x))
+        return lambda texts: [lexicon.score(np.array([lexicon.features(automaton, t) for t in texts]).reshape(-1, 3)).tolist()]
+
+    return added(docs, [text], "score double", start)
 
-    drop = [c for c in docs.columns if c == "score"]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in drop)
-    return docs.mapInPandas(run, f"{kept}, score double")
 
+def judged(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs with score and predicted (1 from a score of 0.5), by a lexicon fitted on the labelled rows; see fit() and scored().
 
-def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs with score and predicted (1 from a score of 0.5), by a lexicon fitted on the labelled rows."""
-    rows = scored(docs, fit(docs, labels, **options))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    Both results have underscores behind their names where docs has such a column. Without labels of both kinds
+    the score is low for all.
+    """
+    rows = scored(docs, fit(docs, labels, text=text, **options), text)
+    return rows.withColumn(fresh(docs, "predicted"), (F.col(rows.columns[-1]) >= 0.5).cast("int"))
 
 
 def op6_toxicity(spark, sf_dir):
+    """A null doc_id has a null held_out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     rows = judged(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return rows.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
