@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: Fixed patterns by kind, in their order: pattern, group whose length counts, least length.
 KINDS = (
@@ -114,19 +114,20 @@ def _entropy(text: Column, base: Column, allow=ALLOW, allow_span=ALLOW_SPAN) ->
 
 
 def scan(docs: DataFrame, text: str = "text", allow=ALLOW, allow_span=ALLOW_SPAN) -> DataFrame:
-    """docs with `secrets`: spans (start, rank, end, kind) by start, then kind.
+    """docs with `secrets` (`secrets_` if docs has such a column): spans (start, rank, end, kind) by start, then kind.
 
-    Offsets are code points, the end exclusive. Null and empty texts have none; repeated rows are scanned one
-    by one; all columns are kept.
+    Offsets are code points, the end exclusive. Null and empty texts have none, very long ones are scanned whole;
+    repeated rows are scanned one by one; all columns are kept, whatever their names; an empty table has an empty
+    result.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(*[_base(whole, k) for k in range(len(KINDS))])
-    rows = docs.withColumn("base_spans", base)
-    return rows.withColumn("secrets", F.array_sort(F.concat("base_spans", _entropy(whole, F.col("base_spans"), allow, allow_span)))).drop("base_spans")
+    base = fresh(docs, "base_spans")
+    rows = docs.withColumn(base, F.concat(*[_base(whole, k) for k in range(len(KINDS))]))
+    return rows.withColumn(fresh(docs, "secrets"), F.array_sort(F.concat(base, _entropy(whole, F.col(base), allow, allow_span)))).drop(base)
 
 
 def redact(scanned: DataFrame, text: str = "text", mask: str = "*") -> DataFrame:
-    """Rows of scan() with the characters of every span masked."""
+    """Rows of scan() with the characters of every span in `secrets` masked."""
     signs = F.transform(F.split(F.col(text), ""), lambda c, i: F.when(F.exists("secrets", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit(mask)).otherwise(c))
     return scanned.withColumn(text, F.when(F.size("secrets") > 0, F.array_join(signs, "")).otherwise(F.col(text)))
 

@@ -14,14 +14,12 @@ no such place, the overlap is doubled and the second chunk is encoded anew, up t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import added, table
 
 #: Characters of a chunk, and of the overlap of two chunks; longer texts than CHUNK are huge.
 CHUNK, OVERLAP = 32_768, 256
@@ -42,10 +40,18 @@ class SentencePieces:
         #: characters that stand before a blank inside some piece
         self.before_blank = {p[i] for p in pieces for i in range(len(p) - 1) if p[i + 1] == BLANK}
         self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
-        same = [x for x in ("①", "Ａ", "  a", "a  ", "é") if self.model.decode(self.model.encode(x)) != x]
-        self.proven = self.before_blank <= {BLANK} and not same  # and texts aren't changed before encoding
+        self.proven = self.before_blank <= {BLANK} and self._plain()
         self.kept: dict[str, int] = {}
 
+    def _plain(self) -> bool:
+        """Whether the model's own rules leave texts as they are before encoding, but for a blank before them."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2 as proto
+        except ImportError:  # without protobuf the rules can't be read
+            return False
+        spec = proto.ModelProto.FromString(self.model.serialized_model_proto()).normalizer_spec
+        return spec.name == "identity" and not spec.precompiled_charsmap and not spec.normalization_rule_tsv and not spec.remove_extra_whitespaces and spec.add_dummy_prefix
+
     def whole(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)]
 
@@ -151,22 +157,18 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     """One row for each document: doc_id, n_bytes, n_tokens, over_limit.
 
     Counts are those of the library on the whole text, without added special tokens. Null and empty texts
-    have 0 bytes and 0 tokens. Other columns are left out; repeated rows are counted one by one.
+    have 0 bytes and 0 tokens; very long ones are counted whole, by chunks. Other columns, whatever their names,
+    are left out; repeated rows are counted one by one; an empty table has an empty result.
     """
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         coder = load(path)
-        for pdf in batches:
-            n_tokens = []
-            for t in pdf["text"]:
-                huge = coder.proven and len(t) > chunk
-                n_tokens.append(spliced(coder, t, chunk, overlap) if huge else coder.count(t))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": n_tokens})
+        count = lambda t: spliced(coder, t, chunk, overlap) if coder.proven and len(t) > chunk else coder.count(t)
+        return lambda texts: [[count(t) for t in texts]]
 
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInPandas(counts, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return added(rows, ["text"], "n_tokens long", start).drop("text").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op7_token_counts(spark, sf_dir, path: str | None = None):
