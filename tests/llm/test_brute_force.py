@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallystone.llm import components, decontamination, mixing, mtree, queries, sharding, simhash, token_counts, toxicity, url_filter
+from tallystone.llm import components, decontamination, line_dedup, mixing, mtree, queries, secrets, sharding, simhash, token_counts, toxicity, url_filter
 
 DIR = "/root/testdata/sf0.001"
 
@@ -216,19 +217,54 @@ def test_store(spark, tmp_path):
         store.append(rows.filter(F.col("id") % 3 == k), max_rows=150)
     before = store.manifest()
     version = store.compact()
+    assert version == before["version"] + 1
+    while version != (version := store.compact()):
+        pass
     after = store.manifest()
-    assert version == before["version"] + 1 and len(after["shards"]) < len(before["shards"]) and store.compact() == version
+    assert len(after["shards"]) < len(before["shards"]) and not store.plan(after["shards"])
     assert max(s["bytes"] for s in after["shards"]) <= 1.2 * 60_000 and sum(s["rows"] for s in after["shards"]) == 3000
     assert sorted(store.read().select("id").collect()) == sorted(rows.select("id").collect()) == sorted(store.read(before["version"]).select("id").collect())
     with pytest.raises(sharding.ConflictError):
-        store.commit(before["version"], before["schema"], [])
+        store.commit(before, before["schema"], [])
     assert store.expire() and store.versions() == [version] and store.read().count() == 3000
 
 
-def test_sharding_keeps_documents(spark):
-    got = queries.QUERIES["op8_tiered_shards"](spark, DIR).select("doc_id", "lang", "source", "n_chars").collect()
-    want = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "lang", "source", "n_chars").collect()
-    assert sorted(map(str, got)) == sorted(map(str, want))
+def test_sharding_keeps_documents(spark, tmp_path):
+    got = queries.QUERIES["op8_tiered_shards"](spark, DIR).drop("shard").collect()
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    want = [(r.doc_id, r.lang, r.source, r.n_chars, len((r.text or "").encode())) for r in docs.collect()]
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
+    out = sharding.shard(docs, str(tmp_path / "s"), max_rows=20)
+    assert sorted(map(str, out.drop("shard").collect())) == sorted(map(str, docs.collect()))
+    assert "hashpartitioning" not in out._jdf.queryExecution().toString()  # texts aren't moved to find their shards
+
+
+def test_tiers(spark, tmp_path, monkeypatch):
+    """Only shards of similar size are merged, and only if there are enough; whatever comes, few stay small."""
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=32 << 20)
+    sized = lambda *sizes: [{"file": f"data/a-{i:04d}/part-{i}", "rows": 1, "bytes": n} for i, n in enumerate(sizes)]
+    assert store.plan(sized(15_000_000, 200_000, 1_000)) == [] and store.plan(sized(*[1_000_000] * 3)) == []
+    assert [len(r) for r in store.plan(sized(*[1_100_000] * 4, 15_000_000, *[2_000] * 5))] == [5, 4]
+    rnd, live, written = random.Random(4), [], 0
+    for k in range(300):
+        live += [{"file": f"data/x-{k}-{i}/p", "rows": 1, "bytes": rnd.randint(1_000, 3_000_000)} for i in range(5)]
+        while runs := store.plan(live):
+            gone = {s["file"] for r in runs for s in r}
+            made = [{"file": f"data/y-{k}-{len(live)}-{i}/p", "rows": 1, "bytes": sum(s["bytes"] for s in r)} for i, r in enumerate(runs)]
+            assert all(s["bytes"] <= store.target for s in made)
+            assert all(store.tier(max(s["bytes"] for s in r)) == store.tier(min(s["bytes"] for s in r)) for r in runs)
+            written += sum(s["bytes"] for s in made)
+            live = [s for s in live if s["file"] not in gone] + made
+    total = sum(s["bytes"] for s in live)
+    assert written <= 7 * total and sum(2 * s["bytes"] < store.target for s in live) <= 3 * 8
+    monkeypatch.setattr(sharding, "PART_SHARDS", 3)
+    for k in range(5):
+        store.append(spark.range(10 * k, 10 * k + 10), max_rows=2)
+    held = store.manifest()
+    assert len(held["parts"]) >= 5 and sum(s["rows"] for s in held["shards"]) == 50
+    one = held["shards"][0]
+    store.commit(held, held["schema"], [], {one["file"]})
+    assert len(set(store.manifest()["parts"]) & set(held["parts"])) == len(held["parts"]) - 1 and store.read().count() == 50 - one["rows"]
 
 
 def test_cascade(spark):
@@ -357,6 +393,70 @@ def test_the_limit_is_exact(spark, n, least, most):
     assert len(set(want.values())) == (300 if most == 0.80 else 150) and left(spark, docs) == set(want.values())
 
 
+@pytest.mark.parametrize("bucket_rows", [8, 4096])
+def test_curriculum_takes_what_the_mix_takes(spark, monkeypatch, bucket_rows):
+    """Whole documents: every source's words differ from its target by half its longest document at most."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    target, longest = {}, {}
+    for r in mixing.mix(docs).collect():
+        target[r.source], longest[r.source] = r.target, max(longest.get(r.source, 0), r.size)
+    out, taken, times = mixing.curriculum(docs).collect(), {}, {}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + words(r.text)
+        times.setdefault(r.doc_id, []).append(r.copy)
+    assert all(abs(taken.get(s, 0) - target[s]) <= longest[s] / 2 + 1 for s in target)
+    assert all(sorted(c) == list(range(1, len(c) + 1)) and len(c) <= 2 for c in times.values())
+    assert [(r.position, r.doc_id) for r in out] == sorted((r.position, r.doc_id) for r in out) and all(0 <= r.position <= 1 for r in out)
+
+
+def test_entropy_spans(spark):
+    """The method's spans against windows whose characters are counted anew each time."""
+    rnd = random.Random(8)
+    alphabet = secrets.ALPHABET
+    texts = []
+    for _ in range(150):
+        parts = ["".join(rnd.choices(rnd.choice([alphabet, alphabet[:36], "0123456789abcdef", "ab1"]), k=rnd.randint(5, 70))) for _ in range(rnd.randint(1, 6))]
+        texts.append(rnd.choice([" ", " :", "é"]).join(parts))
+
+    def entropy(w):
+        return math.log2(len(w)) - sum(c * math.log2(c) for c in Counter(w).values()) / len(w)
+
+    def spans(t):
+        base = [m.span() for kind, p, g, least in secrets.KINDS for m in re.finditer(p, t, re.A) if len(m[g]) >= least]
+        for c in re.finditer(secrets.CANDIDATE, t):
+            for r in re.finditer(secrets.RUN, c[0]):
+                s, at = r[0], c.start() + r.start()
+                if len(s) < 20 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(re.search(p, s) for p in secrets.ALLOW):
+                    continue
+                limit = next(v for p, v in secrets.CLASSES if re.search(p, s))
+                hot = [i for i in range(len(s) - 19) if entropy(s[i : i + 20]) >= limit - 1e-9]
+                if hot and not any(re.search(p, s[hot[0] : hot[-1] + 20]) for p in secrets.ALLOW_SPAN):
+                    a, b = at + hot[0], at + hot[-1] + 20
+                    if not any(x < b and a < y for x, y in base):
+                        yield a, b
+
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    got = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "entropy"] for r in rows}
+    assert got == {i: list(spans(t)) for i, t in enumerate(texts)} and sum(map(len, got.values())) > 50
+
+
+def test_groups_are_those_of_the_similarity(spark):
+    """near_dedup over a whole table: its groups are the components of all pairs with a Jaccard similarity of 0.8 or more."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = similar({r.doc_id: r.text or "" for r in docs.collect()})
+    got = {r.doc_id: r.group_id for r in simhash.similar_groups(docs).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_items_in_shards(spark, texts):
+    """Many small automata give what one gives, for marks and for cut texts."""
+    docs, items = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda n: sorted(map(str, decontamination.decontaminate(docs, items, shard_bytes=n).drop("dropped").collect()))
+    assert rows(4_000_000) == rows(20_000)
+
+
 def test_mix_comes_in_training_order(spark):
     rows = [(r.first_position is not None, r.first_position or 0.0, r.doc_id) for r in queries.QUERIES["op10_curriculum_mix"](spark, DIR).collect()]
     assert rows == sorted(rows) and any(r[0] for r in rows)

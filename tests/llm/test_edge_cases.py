@@ -84,7 +84,7 @@ def test_secrets(spark, docs, empty):
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (3, 0), (7, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.judged(docs, labels)
-    assert out.count() == docs.count() and all(0 <= r.score <= 1 for r in out.collect())
+    assert out.count() == docs.count() and all(0 <= r.score_ <= 1 and r.score == "mine" for r in out.collect())
     assert toxicity.judged(empty, labels.limit(0)).count() == 0
     assert toxicity.folded("1DI0T Ｌоsеr a5 2024 $40 f@ke") == ["idiot", "ioser", "as", "2024", "40", "fake"]
 
@@ -101,7 +101,7 @@ def test_tokens(docs, empty):
 
 def test_sharding(spark, docs, empty, tmp_path):
     out = sharding.shard(docs, str(tmp_path / "a"), max_rows=2)
-    assert sorted(map(str, out.drop("shard").collect())) == sorted(map(str, docs.drop("shard").collect())) and dict(out.dtypes)["shard"] == "int"
+    assert sorted(map(str, out.drop("shard_").collect())) == sorted(map(str, docs.collect())) and dict(out.dtypes)["shard_"] == "int"
     assert sharding.shard(empty, str(tmp_path / "b")).count() == 0
 
 
@@ -137,3 +137,83 @@ def test_secrets_with_slashes(spark):
     n = len(keys)
     assert [i for i in range(n) if not got[i]] == [] and got[n] and got[n + 1] and not got[n + 2] and got[n + 3]
     assert all(texts[i][s.start : s.end] in keys[i] for i in range(n) for s in got[i])
+
+
+#: Names that the operators use inside or give to their results.
+CLASHES = (
+    "size before target o b part position copy copy_no passes t full left id at n weight source_size doc row gone gone_hashes row_of_gone n_lines n_removed h s line lines secrets base_spans score predicted n_words n_hit items spans "
+    "dropped clean_text fp sid segs prefix group_id label node u v key file shard _row _gone _name _metadata text_ limit_o limit_t words"
+).split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is null or doc_id != 4")
+    return rows.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHES})
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_dedup", "decontamination", "mixing", "sharding", "lines", "secrets", "groups", "components", "tokens", "mix"])
+def test_columns_of_any_name_pass(spark, clashing, tmp_path, name):
+    import public_tokenizers
+
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "c d e")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    other = {
+        "lines": line_dedup.clean, "secrets": secrets.scan, "groups": simhash.similar_groups, "components": simhash.near_duplicates, "mix": mixing.mix,
+        "tokens": lambda d: token_counts.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")),
+    }
+    out = stages[name](spark, clashing, str(tmp_path)) if name in stages else other[name](clashing)
+    rows = out.collect()
+    assert rows
+    if name in stages and name != "sharding":
+        assert out.columns == clashing.columns
+    if name in stages or name in ("lines", "secrets"):
+        assert out.columns[: len(clashing.columns)] == clashing.columns
+        for r in rows:
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in CLASHES), r
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "a b c"), (None, "a b c"), (big + 1, None)], "doc_id long, text string").coalesce(1)
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    items = spark.createDataFrame([(1, "zz")], "item_id long, text string")
+    for out in (token_counts.count_tokens(docs, path), simhash.near_duplicates(docs), decontamination.decontaminate(docs, items), toxicity.scored(docs, toxicity.Lexicon({}, ()))):
+        assert {r.doc_id for r in out.collect()} == {big, None, big + 1}
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    many = [(i, f"same\nown {i}", f"site{i}") for i in range(9)]
+    rows = [*many, (0, "innocent\nsame", "site0"), (None, "same\nkept", "site1")]
+    got = sorted(r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == sorted([*(f"own {i}" for i in range(9)), "innocent", "kept"])
+
+
+def test_stages_on_empty_tables(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, docs, tmp_path):
+    """Nulls, blanks, repeats and a long text, through all stages one by one."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "c d e")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=lambda x: (x is None, x))
+    stages = dict(corpus_pipeline.STAGES)
+    assert ids(stages["toxicity"](spark, docs, str(tmp_path))) == [1, 1, 2, 3, 4, 5, 6, None]
+    assert ids(stages["near_dedup"](spark, docs, str(tmp_path))) == [1, 2, 4, None]
+    assert ids(stages["decontamination"](spark, docs, str(tmp_path))) == [1, 1, 2, 3, 4, 5, 6, None]
+    assert set(ids(stages["mixing"](spark, docs, str(tmp_path)))) <= {1, 4, 5, None}
+    assert ids(stages["sharding"](spark, docs, str(tmp_path))) == [1, 1, 2, 3, 4, 5, 6, None]
