@@ -5,14 +5,18 @@ vector x gets sqrt(M2 - |x|^2) and a query 0; then d(q, x)^2 = |q|^2 + M2 - 2 q.
 are those of the highest products. The components are integers and the bounds leave a margin for rounding,
 so the result is exact: a bound only ever drops vectors whose product is lower than that of k others.
 
-Pages. A bounded sample of the vectors gives pivots; each vector goes to the page of its nearest pivot, and a
-page's covering radius is the largest distance in it. Pages over PAGE vectors are cut by a hash of the id, so
-a vector that a third of the rows have fills no task. Each query first scores the sample: its k-th best is a
-lower bound of the result, and only pages whose ball reaches beyond that bound are visited.
-
-In a page the task bulk-loads an M-tree: nodes hold entries with a covering radius and the distance to their
-parent. The search is best-first; an entry is dropped without computing its distance if the stored
-distances and the triangle inequality already put its ball behind the k-th best so far.
+Upper nodes. A bounded sample of the vectors gives the upper levels of the tree, whose leaves are pages. Each
+vector goes down to the nearest child from the root to a page; every node's covering radius is the largest
+distance of the vectors that went through it. A page of over PAGE vectors is cut into rings by distance from its
+routing point, and a ring whose vectors lie at one distance by a hash of the id, so a vector that a third of the
+rows have fills no task. Each query first scores the sample: its k-th best is a lower bound of the result. The
+query then goes down the upper nodes, past those that stored parent distances or radii put beyond that bound, and
+visits the rings that are left.
+
+In a page's part the task bulk-loads the lower levels: nodes hold entries with a covering radius and the distance
+to their parent. The search is best-first; an entry is dropped without computing its distance if the stored
+distances and the triangle inequality already put its ball behind the k-th best so far. A part is moved once for
+each QUERIES queries that visit it, and its tree is built once for them.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 K = 10
-#: Rows of the sample, of which the first ones are pivots, one for each PER_PIVOT rows up to PIVOTS; both bound what reaches the driver.
-SAMPLE, PIVOTS, PER_PIVOT = 2048, 256, 2048
-#: Most vectors of a page, and most queries that visit it together.
-PAGE, QUERIES = 4096, 2048
+#: Rows of the sample and pages at most, which bound what reaches the driver; a page for each PER_PAGE rows.
+SAMPLE, PAGES, PER_PAGE = 2048, 256, 2048
+#: Vectors of a part of a page, rings of a page at most, and queries that visit a part together.
+PART, RINGS, QUERIES = 4096, 32, 16_384
 LEAF, FANOUT = 512, 12
 SCALE = 1024
 
@@ -40,7 +44,8 @@ SCALE = 1024
 class MTree:
     """An M-tree over the rows of an array, bulk-loaded from the top. `order` lists the rows so that each leaf is one run of it."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT):
+        self.least, self.fanout = leaf, fanout
         #: of each node: routing point, radius, and children's distances to it; children of a leaf are a run of places
         self.routing, self.radius, self.to_parent, self.children, self.leaf = [], [], [], [], []
         self._order: list[np.ndarray] = []
@@ -54,7 +59,7 @@ class MTree:
         me, d = len(self.routing), _distances(points[rows], routing)
         self.routing.append(routing)
         self.radius.append(float(d.max()))
-        self.leaf.append(len(rows) <= LEAF or d.max() == 0)
+        self.leaf.append(len(rows) <= self.least or d.max() == 0)
         self.to_parent.append(d)
         self.children.append((self._placed, self._placed + len(rows)))
         if self.leaf[me]:
@@ -64,7 +69,7 @@ class MTree:
         # children around rows that lie far from each other
         own, at = points[rows], int(d.argmax())
         nearest, owner, chosen = np.full(len(rows), np.inf), np.zeros(len(rows), dtype=np.int64), []
-        for c in range(min(FANOUT, max(2, 2 * len(rows) // LEAF))):
+        for c in range(min(self.fanout, max(2, 2 * len(rows) // self.least))):
             chosen.append(own[at])
             to = _distances(own, own[at])
             closer = to < nearest
@@ -100,6 +105,64 @@ class MTree:
                     heapq.heappush(queue, (max(0.0, dk - r), k, dk))
 
 
+class Upper:
+    """The upper levels: an M-tree over a sample, whose leaves are pages of all vectors."""
+
+    def __init__(self, sample: np.ndarray, pages: int):
+        self.tree = MTree(sample, max(1, -(-len(sample) // pages)))
+        self.path: dict[int, list[int]] = {}  # of each page: the nodes from the root to it
+        stack = [(0, [0])]
+        while stack:
+            node, path = stack.pop()
+            if self.tree.leaf[node]:
+                self.path[node] = path
+            else:
+                stack += [(int(k), [*path, int(k)]) for k in self.tree.children[node]]
+        self.depth = max(map(len, self.path.values()))
+        self.points = np.array(self.tree.routing)
+
+    def pages(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(page, distances) of each row: distances to the nodes that it goes through, infinite below the page."""
+        page, far = np.zeros(len(x), dtype=np.int64), np.full((len(x), self.depth), np.inf)
+        far[:, 0] = _distances(x, self.points[0])
+        stack = [(0, 0, np.arange(len(x)))]
+        while stack:
+            node, level, rows = stack.pop()
+            if self.tree.leaf[node]:
+                page[rows] = node
+                continue
+            kids = self.tree.children[node]
+            d = np.array([_distances(x[rows], p) for p in self.tree.points_of[node]])
+            best = d.argmin(axis=0)
+            far[rows, level + 1] = d[best, np.arange(len(rows))]
+            stack += [(int(k), level + 1, rows[best == c]) for c, k in enumerate(kids) if (best == c).any()]
+        return page, far
+
+    def cover(self, radii: dict[int, list[float]]) -> None:
+        """Sets the covering radii from the largest distances of each page's vectors to the nodes of its path. Nodes without vectors cover nothing."""
+        radius = np.full(len(self.points), -np.inf)
+        for page, far in radii.items():
+            for node, d in zip(self.path[page], far, strict=False):
+                radius[node] = max(radius[node], d)
+        self.tree.radius = radius.tolist()
+        self.tree.radii_of = {n: radius[self.tree.children[n]] for n in self.tree.radii_of}
+
+    def reached(self, q: np.ndarray, bound: float) -> list[tuple[int, float]]:
+        """(page, distance) of the pages whose ball comes within the bound of q."""
+        out, stack = [], [(0, float(_distances(self.points[:1], q)[0]))]
+        while stack:
+            node, dq = stack.pop()
+            if dq - self.tree.radius[node] > bound:
+                continue
+            if self.tree.leaf[node]:
+                out.append((node, dq))
+                continue
+            near = np.flatnonzero(np.abs(dq - self.tree.to_parent[node]) - self.tree.radii_of[node] <= bound)
+            d = _distances(self.tree.points_of[node][near], q)
+            stack += [(int(k), float(dk)) for k, dk in zip(self.tree.children[node][near], d, strict=True)]
+        return out
+
+
 def _distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
     d = rows - point
     return np.sqrt(np.einsum("ij,ij->i", d, d))
@@ -138,14 +201,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search_page(left: pd.DataFrame, right: pd.DataFrame, k: int, width: int, m2: float) -> pd.DataFrame:
-    """The k best of a page for each of the queries that visit it."""
+    """The k best of a part of a page for each of the queries that visit it."""
     out: list[tuple] = []
     if len(left) and len(right):
         rows = _matrix(left["v"].tolist(), width)
         tree = MTree(_lift(rows, m2))
         rows, ids = rows[tree.order], left["vec_id"].to_numpy(dtype=np.int64)[tree.order]
         plain, top = rows.astype(np.float64), float(np.abs(rows).max(initial=0))
-        for qid, v, floor in zip(right["query_id"].tolist(), right["v"].tolist(), right["floor"].tolist(), strict=True):
+        for n, qid, v, floor in zip(right["q"].tolist(), right["query_id"].tolist(), right["v"].tolist(), right["floor"].tolist(), strict=True):
             q = _matrix([v], width)[0]
             point = q.astype(np.float64)
             q2, exact = float(point @ point), top * float(np.abs(q).max(initial=0)) * width < 2**53  # so doubles hold the sums
@@ -163,8 +226,8 @@ def _search_page(left: pd.DataFrame, right: pd.DataFrame, k: int, width: int, m2
                 return _reach(q2, m2, least) if least > -math.inf else math.inf
 
             tree.search(np.append(point, 0.0), take, _reach(q2, m2, floor) if floor > -math.inf else math.inf)
-            out += [(qid, int(i), int(s)) for i, s in zip(held_i, held_s, strict=True)]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            out += [(n, qid, int(i), int(s)) for i, s in zip(held_i, held_s, strict=True)]
+    return pd.DataFrame(out, columns=["q", "query_id", "vec_id", "score"]).astype("int64")
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -175,13 +238,15 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     return rows.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
 
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = K, page: int = PAGE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 100, k: int = K, part: int = PART, pages: int = PAGES, per_page: int = PER_PAGE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors of the highest integer inner product of each query.
 
     Queries are the rows whose id is divisible by `every`; candidates are all rows but those of the query's
     own id. Ties go to the smaller id; fewer candidates than k are all returned. Vectors that are null or hold
-    a null or non-finite component take no part. Shorter vectors count as filled up with zeros. Repeated rows
-    of an id are candidates one by one, and queries one by one. Other columns are left out.
+    a null or non-finite component take no part. Shorter vectors count as filled up with zeros, and very long
+    ones are taken whole. Repeated rows of an id are candidates one by one, and queries one by one: each has its
+    own k rows, of ranks from 1. Other columns, whatever their names, are left out; an empty table has an empty
+    result.
     """
     rows = checkpointed(quantised(vectors, vec_id, embedding))
     most = rows.agg(F.max("n2"), F.max(F.size("v")), F.count("*")).first()
@@ -190,47 +255,51 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, page: int = PAGE, ve
     m2, width = float(most[0]), max(1, int(most[1]))
     sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     s_ids, s_rows = np.array([r.vec_id for r in sample]), _matrix([r.v for r in sample], width)
-    pivots = _lift(s_rows[: min(PIVOTS, -(-most[2] // PER_PIVOT))], m2)
+    upper = Upper(_lift(s_rows, m2), min(pages, -(-most[2] // per_page)))
 
     def to_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        squares = (pivots**2).sum(axis=1)
         for pdf in batches:
-            x = _lift(_matrix(pdf["v"].tolist(), width), m2)
-            at = (squares - 2 * (x @ pivots.T)).argmin(axis=1)
-            yield pdf.drop(columns="n2").assign(p=at.astype(np.int32), d=np.sqrt(((x - pivots[at]) ** 2).sum(axis=1)))
-
-    dealt = rows.mapInPandas(to_pages, "vec_id long, v array<long>, p int, d double")
-    dealt = checkpointed(dealt)
-    pages = {r.p: (r.n, r.radius) for r in dealt.groupBy("p").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()}
-    cuts = [math.ceil(pages.get(p, (0, 0))[0] / page) for p in range(len(pivots))]
-    radius = np.array([pages.get(p, (0, -math.inf))[1] for p in range(len(pivots))])
+            page, far = upper.pages(_lift(_matrix(pdf["v"].tolist(), width), m2))
+            own = far[np.arange(len(far)), np.isfinite(far).sum(axis=1) - 1]
+            yield pdf.drop(columns="n2").assign(p=page, far=list(far), d=own)
+
+    dealt = checkpointed(rows.mapInPandas(to_pages, "vec_id long, v array<long>, p long, far array<double>, d double"))
+    far = [F.max(F.col("far")[i]).alias(f"far{i}") for i in range(upper.depth)]
+    cuts = F.percentile_approx("d", [i / RINGS for i in range(1, RINGS)], 1000)
+    held = dealt.groupBy("p").agg(F.count("*").alias("n"), cuts.alias("cuts"), *far).collect()  # a row for each page
+    upper.cover({r.p: [r[f"far{i}"] for i in range(upper.depth)] for r in held})
+    # the inner borders of the rings of each page
+    rings = {r.p: sorted({r.cuts[i * RINGS // n - 1] for i in range(1, n)}) for r in held for n in [min(RINGS, -(-r.n // part))]}
+    of = F.broadcast(rows.sparkSession.createDataFrame(list(rings.items()), "p long, cuts array<double>"))
+    dealt = dealt.join(of, "p").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("d"))).cast("long")).select("p", "ring", "vec_id", "v")
 
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for qid, v in zip(pdf["vec_id"].tolist(), pdf["v"].tolist(), strict=True):
+            for n, qid, v in zip(pdf["q"].tolist(), pdf["vec_id"].tolist(), pdf["v"].tolist(), strict=True):
                 q = _matrix([v], width)[0]
                 scores = np.sort(_products(s_rows, q)[s_ids != qid])
                 floor = float(scores[-k]) if len(scores) >= k else -math.inf
-                q2 = float((q.astype(np.float64) ** 2).sum())
-                d = np.sqrt(((pivots - np.append(q.astype(np.float64), 0.0)) ** 2).sum(axis=1))
-                visits = np.flatnonzero(d - radius <= (_reach(q2, m2, floor) if floor > -math.inf else math.inf))
-                yield pd.DataFrame({"p": visits.astype(np.int32), "query_id": qid, "v": [v] * len(visits), "floor": floor})
-
-    asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
-    visits = checkpointed(asked.mapInPandas(to_visits, "p int, query_id long, v array<long>, floor double"))
-    blocks = [1] * len(pivots)
-    for r in visits.groupBy("p").agg(F.count("*").alias("n")).collect():
-        blocks[r.p] = math.ceil(r.n / QUERIES)
-    of = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("p") + 1)
-    count = F.greatest(of(cuts), F.lit(1))
-    each = dealt.withColumn("cut", F.pmod(F.xxhash64("vec_id"), count).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of(blocks) - 1)))
-    ask = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), of(blocks)).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), count - 1)))
-    keys = ["p", "cut", "block"]
+                bound = _reach(float((q.astype(np.float64) ** 2).sum()), m2, floor) if floor > -math.inf else math.inf
+                visits = []
+                for page, d in upper.reached(np.append(q.astype(np.float64), 0.0), bound):
+                    borders = [0.0, *rings.get(page, ()), upper.tree.radius[page]]
+                    visits += [(page, i) for i in range(len(borders) - 1) if borders[i] - bound <= d <= borders[i + 1] + bound]
+                if visits:
+                    p, ring = zip(*visits, strict=True)
+                    yield pd.DataFrame({"p": p, "ring": ring, "q": n, "query_id": qid, "v": [v] * len(p), "floor": floor})
+
+    asked = checkpointed(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v").withColumn("q", F.monotonically_increasing_id()))
+    visits = checkpointed(asked.mapInPandas(to_visits, "p long, ring long, q long, query_id long, v array<long>, floor double"))
+    cells = dealt.groupBy("p", "ring").agg(F.ceil(F.count("*") / part).alias("parts")).join(visits.groupBy("p", "ring").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")), ["p", "ring"])
+    cells = F.broadcast(checkpointed(cells))  # PAGES * RINGS rows at most
+    each = dealt.join(cells, ["p", "ring"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    ask = visits.join(cells, ["p", "ring"]).withColumn("block", F.pmod(F.xxhash64("q"), "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    keys = ["p", "ring", "part", "block"]
     found = (
-        each.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(ask.select(*keys, "query_id", "v", "floor").groupBy(*keys))
-        .applyInPandas(lambda a, b: _search_page(a, b, k, width, m2), "query_id long, vec_id long, score long")
+        each.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(ask.select(*keys, "q", "query_id", "v", "floor").groupBy(*keys))
+        .applyInPandas(lambda a, b: _search_page(a, b, k, width, m2), "q long, query_id long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
