@@ -27,6 +27,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Matches whose positions are summed up together; bits of a character's count, and counts in a long.
+BLOCK, COUNT_BITS, PACKED = 128, 5, 12
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: Class of a candidate (the first that matches all of it) and the least entropy of a window, in bits.
 CLASSES = ((r"^[0-9a-fA-F]+$", 2.9), (r"^[^A-Z]+$|^[^a-z]+$", 3.5), (r"^[\s\S]+$", 3.7))
@@ -49,19 +51,35 @@ SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, found), by code points."""
+    """All matches as (start, end, found), by code points.
+
+    Positions are running sums, first inside blocks of BLOCK matches, then over the blocks, so that a text of
+    very many matches isn't copied for each of them.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("long"), m.alias("found")))
-    none = F.lit(None).cast("array<struct<start:bigint,end:bigint,found:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(none, F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")).alias("out"))
+    both = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("long"), m.alias("found")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,found:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         here = acc["at"] + x["gap"]
         end = here + x["long"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(here.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def summed(m: Column) -> Column:
+        n = F.greatest(F.ceil(F.size(m) / BLOCK).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(F.slice(m, k * BLOCK + 1, F.lit(BLOCK)), start, step))
+
+    def put_together(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        moved = F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, at: F.transform(b["out"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["found"].alias("found"))))
+        return F.flatten(moved)
+
+    return _with(_with(both, summed), put_together)
+
+
+def _with(value: Column, f) -> Column:
+    """f(value), where value is made once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _base(text: Column, rank: int) -> Column:
@@ -72,23 +90,31 @@ def _base(text: Column, rank: int) -> Column:
 
 
 def _hot(candidate: Column) -> Column:
-    """(first, last): starts of the first and the last window over the limit; nulls if there is none."""
+    """(first, last): starts of the first and the last window over the limit; nulls if there is none.
+
+    The counts of a window lie in a few longs, PACKED of them in each, so that a move changes two places only.
+    """
     limit = F.when(candidate.rlike(CLASSES[0][0]), CLASSES[0][1]).when(candidate.rlike(CLASSES[1][0]), CLASSES[1][1]).otherwise(CLASSES[2][1])
-    signs = F.transform(F.filter(F.split(candidate, ""), lambda x: x != ""), lambda x: F.instr(F.lit(ALPHABET), x))
+    place = lambda x: F.instr(F.lit(ALPHABET), x) - 1
+    signs = F.transform(F.filter(F.split(candidate, ""), lambda x: x != ""), lambda x: F.struct(F.floor(place(x) / PACKED).cast("int").alias("word"), (COUNT_BITS * (place(x) % PACKED)).alias("bit")))
     weigh = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
     none = F.lit(None).cast("int")
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).cast("double").alias("sum"), none.alias("first"), none.alias("last"))
-    moves = F.zip_with(signs, F.concat(F.array_repeat(F.lit(0), WINDOW), signs), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+    words = -(-len(ALPHABET) // PACKED)
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).cast("double").alias("sum"), none.alias("first"), none.alias("last"))
+    nothing = F.struct(F.lit(-1).alias("word"), F.lit(0).alias("bit"))
+    moves = F.zip_with(signs, F.concat(F.array_repeat(nothing, WINDOW), signs), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
     moves = F.slice(F.transform(moves, lambda x, i: F.struct(x["enters"].alias("enters"), x["leaves"].alias("leaves"), i.alias("i"))), F.lit(1), F.size(signs))
     w = lambda n: F.element_at(weigh, n + 1)
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"])
+    count = lambda counts, x: F.call_function("shiftright", F.element_at(counts, F.greatest(x["word"], F.lit(0)) + 1), x["bit"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
 
     def step(acc: Column, x: Column) -> Column:
-        out = F.when(x["leaves"] > 0, F.element_at(acc["counts"], F.greatest(x["leaves"], F.lit(1)))).otherwise(0)
-        less = acc["sum"] + F.when(out > 0, w(F.greatest(out - 1, F.lit(0))) - w(out)).otherwise(0.0)
-        held = F.transform(acc["counts"], lambda c, j: c - F.when(j + 1 == x["leaves"], 1).otherwise(0))
-        into = F.element_at(held, x["enters"])
-        total = less + w(into + 1) - w(into)
-        counts = F.transform(held, lambda c, j: c + F.when(j + 1 == x["enters"], 1).otherwise(0))
+        enters, leaves = x["enters"], x["leaves"]
+        same, goes = (enters["word"] == leaves["word"]) & (enters["bit"] == leaves["bit"]), leaves["word"] >= 0
+        out, into = count(acc["counts"], leaves), count(acc["counts"], enters)
+        total = acc["sum"] + F.when(same, 0.0).otherwise(w(into + 1) - w(into) + F.when(goes, w(F.greatest(out - 1, F.lit(0))) - w(out)).otherwise(0.0))
+        zero = F.lit(0).cast("long")
+        counts = F.transform(acc["counts"], lambda c, j: c + F.when(j == enters["word"], one(enters)).otherwise(zero) - F.when(j == leaves["word"], one(leaves)).otherwise(zero))
         over = (x["i"] + 1 >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit)
         at = x["i"] + 1 - WINDOW
         return F.struct(counts.alias("counts"), total.alias("sum"), F.when(acc["first"].isNull() & over, at).otherwise(acc["first"]).alias("first"), F.when(over, at).otherwise(acc["last"]).alias("last"))
