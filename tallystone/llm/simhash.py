@@ -372,7 +372,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", send
     groups = checkpointed(similar_groups(docs, doc_id, text, **options))
     name = fresh(docs, "gone")
     gone = groups.filter("doc_id != group_id").select(F.col("doc_id").alias(name)).distinct()
-    gone = checkpointed(gone.join(groups.select(F.col("group_id").alias(name)), name, "left_anti"))
+    gone = checkpointed(gone.join(groups.select(F.col("group_id").alias(name)).distinct(), name, "left_anti"))
     kept = docs.join(sent(gone, send_rows), F.col(doc_id) == F.col(name), "left_anti")
     again = groups.groupBy("doc_id").count().filter("count > 1")
     return kept if again.isEmpty() else kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.filter(F.col(doc_id).isNull()))
