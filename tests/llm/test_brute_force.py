@@ -52,6 +52,54 @@ def test_tree_finds_all():
         assert best[0] == d.min()
 
 
+def test_bounds_avoid_distances(monkeypatch):
+    """On points with structure most distances are never computed, below and above the pages."""
+    rng = np.random.default_rng(2)
+    rows = (rng.normal(size=(60, 1, 8)) * 50 + rng.normal(size=(60, 100, 8))).reshape(-1, 8)
+    tree, seen = mtree.MTree(rows, leaf=16), []
+    for q in rows[::300] + 0.1:
+        d = np.sqrt(((rows - q) ** 2).sum(axis=1))
+        held = []
+
+        def take(at):
+            run = tree.order[at]
+            seen.append(len(run))
+            held.extend(d[run].tolist())
+            return sorted(held)[9] if len(held) >= 10 else math.inf
+
+        tree.search(q, take, math.inf)
+        assert sorted(held)[:10] == sorted(d.tolist())[:10]
+    assert sum(seen) < 0.2 * 20 * len(rows)
+    upper = mtree.Upper(rows[::10], 100)
+    page, far = upper.pages(rows)
+    assert far[:, 0].tolist() == mtree._distances(rows, upper.points[0]).tolist() and upper.depth > 2
+    upper.cover({p: far[page == p].max(axis=0).tolist() for p in set(page.tolist())})
+    visited = 0
+    for q in rows[::300]:
+        near = {p for p, _ in upper.reached(q, 3.0)}
+        assert set(page[mtree._distances(rows, q) <= 3.0].tolist()) <= near
+        visited += len(near)
+    assert visited < 0.2 * 20 * len(upper.path)
+
+
+def test_top_k_over_many_pages(spark, monkeypatch):
+    """Small pages, rings and blocks, and one vector that a third of the rows have."""
+    monkeypatch.setattr(mtree, "QUERIES", 3)
+    rnd = random.Random(6)
+    own = [[rnd.gauss(0, 1) + 3 * (i % 7) for _ in range(6)] for i in range(1500)]
+    rows = [(i, own[0] if i % 3 == 0 else own[i]) for i in range(1500)] + [(100, own[5]), (100, own[8])]
+    got = {}
+    for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), part=40, pages=12, per_page=50).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = {}
+    for i, q in whole:
+        if i % 100 == 0:
+            best = sorted((-sum(map(int.__mul__, q, v)), j) for j, v in whole if j != i)[:10]
+            want.setdefault(i, []).extend((n, j, -s) for n, (s, j) in enumerate(best, 1))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()} and len(got[100]) == 30
+
+
 def groups_of(links, nodes):
     up = {n: n for n in nodes}
 
