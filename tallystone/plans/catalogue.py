@@ -91,11 +91,11 @@ def currency_detect(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").select("doc_id", T.detect_currency(F.col("text")).alias("currency"))
 
 
-@query("""WITH named AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '，华东机电有限公司，恒力工贸有限公司' WHEN 1 THEN '，华东机电有限公司，华东机电有限公司' WHEN 2 THEN '，广联轴承销售部，鑫源工厂。' ELSE '' END AS tail FROM documents)
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '华东机电有限公司、恒力工贸有限公司' ELSE '广联轴承销售部、鑫源工厂' END AS names FROM named WHERE doc_id % 4 IN (0, 2)""")
+@query("""WITH named AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '，云川仪器有限公司，远桥商贸有限公司' WHEN 1 THEN '，云川仪器有限公司，云川仪器有限公司' WHEN 2 THEN '，海棠轴件销售部，清林工厂。' ELSE '' END AS tail FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '云川仪器有限公司、远桥商贸有限公司' ELSE '海棠轴件销售部、清林工厂' END AS names FROM named WHERE doc_id % 4 IN (0, 2)""")
 def supplier_consistency(spark, sf_dir):
     """V7 over documents with company names behind them."""
-    tail = F.element_at(F.array(*map(F.lit, ("，华东机电有限公司，恒力工贸有限公司", "，华东机电有限公司，华东机电有限公司", "，广联轴承销售部，鑫源工厂。", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    tail = F.element_at(F.array(*map(F.lit, ("，云川仪器有限公司，远桥商贸有限公司", "，云川仪器有限公司，云川仪器有限公司", "，海棠轴件销售部，清林工厂。", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
     raw = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), F.concat("text", tail).alias("raw_text"))
     return R.supplier_names(raw).select(F.col("source_file").alias("doc_id"), F.array_join("names", "、").alias("names"))
 

@@ -151,7 +151,8 @@ def flag_suppliers(lines: DataFrame, raw: DataFrame) -> DataFrame:
 
 def findings(checked: DataFrame) -> DataFrame:
     """The line findings as rows: source_file, rule_ord, line_no, part, target, rule, message."""
-    rows = checked.select("source_file", "line_no", F.explode("line_findings").alias("f"))
+    # an explode() would bring along a filter on the array's size, in which all rules are made once more below the projections
+    rows = checked.select("source_file", "line_no", F.explode_outer("line_findings").alias("f")).filter("f.rule is not null")
     return rows.select("source_file", "f.rule_ord", "line_no", "f.part", F.concat("source_file", F.lit("#行"), F.col("line_no").cast("string")).alias("target"), "f.rule", "f.message")
 
 

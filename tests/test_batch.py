@@ -15,10 +15,10 @@ from tallystone.sources import files as S
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors don't import tests
 
-ITEMS = [("内六角螺钉", "M8×20", "件", 5000), ("深沟球轴承", "6204", "个", 50), ("球阀", "304不锈钢 DN15", "个", 10), ("工业吸尘器滤芯", "适配XX-2000", "个", 4), ("三相异步电机", "1.5kW", "台", 2), ("聚氨酯同步带", "8M-720", "条", 10), ("气缸", "SC63×100", "个", 4), ("接近开关", "M12 NPN 常开", "个", 20)]
-PRICES = {"华东机电设备有限公司": [0.05, 8.5, 46, 65, 1280, 39, 168, 26], "铭泰五交化": [0.048, 8.2, 45, 68, 1250, 38, 165, 25], "恒力工贸有限公司": [0.052, 8.8, 48, 66, 1260, 40, None, 27], "广联轴承销售部": [0.049, 8.0, 44, 72, 1240, 37, 160, 24]}
-LEADS = ["现货", "7天", "15天", "10天", "20天", "一周", "12天", "现货"]
-SUPPLEMENT = [("工业吸尘器滤芯", "适配XX-2000型", 62), ("接近开关", "M12 NPN 常开", 25.5)]
+ITEMS = [("高型烧杯", "250mL 带刻度", "个", 120), ("丁腈手套", "L码 无粉", "件", 15), ("磁力搅拌子", "C型 30mm", "只", 40), ("活性炭滤棉", "适配QH-30", "个", 6), ("恒温水浴锅", "双列4孔", "台", 3), ("封口膜", "10cm×38m", "卷", 12), ("移液器支架", "6位 转盘", "个", 5), ("防护眼镜", "防雾 PC镜片", "个", 25)]
+PRICES = {"青禾实验器材有限公司": [7.4, 32, 3.1, 58, 940, 112, 85, 19.5], "鸿安劳保": [7.9, 30.5, 2.8, 61, 905, 118, 79, 18], "北原办公用品公司": [7.2, 34, 3.3, 55, 980, 109, None, 21], "启明包装贸易部": [8.1, 31, 2.9, 63, 890, 121, 82, 17.8]}
+LEADS = ["现货", "三天", "5天", "两周", "25天", "现货", "9天", "4天"]
+SUPPLEMENT = [("活性炭滤棉", "适配QH-30加厚", 53.5), ("防护眼镜", "防雾 PC镜片", 18.8)]
 
 
 def line(name, spec, unit, qty, price, lead, amount=""):
@@ -27,10 +27,10 @@ def line(name, spec, unit, qty, price, lead, amount=""):
 
 def payload(supplier):
     out = [line(n, s, u, q, p, LEADS[i]) for i, ((n, s, u, q), p) in enumerate(zip(ITEMS, PRICES[supplier], strict=True)) if p is not None]
-    if supplier.startswith("华东"):
+    if supplier.startswith("青禾"):
         out[1]["amount_raw"] = "500"
-    if supplier.startswith("铭泰"):  # another wording, which ties the supplement's to the others'
-        out[3] = line("工业吸尘器滤芯", "XX-2000通用", "个", 4, 68, LEADS[3])
+    if supplier.startswith("鸿安"):  # another wording, which ties the supplement's to the others'
+        out[3] = line("活性炭滤棉", "QH-30通用", "个", 6, 61, LEADS[3])
     return {"supplier_name": supplier, "lines": out}
 
 
@@ -65,14 +65,14 @@ def xlsx(rows) -> bytes:
 def folder(tmp_path_factory):
     at = tmp_path_factory.mktemp("quotes")
     answers = {}
-    for file, supplier in (("华东机电.xlsx", "华东机电设备有限公司"), ("铭泰五交化.txt", "铭泰五交化"), ("恒力工贸.csv", "恒力工贸有限公司"), ("_广联.md", "广联轴承销售部")):
+    for file, supplier in (("青禾器材.xlsx", "青禾实验器材有限公司"), ("鸿安劳保.txt", "鸿安劳保"), ("北原办公.csv", "北原办公用品公司"), ("_启明.md", "启明包装贸易部")):
         answers[file] = payload(supplier)
         text = text_of(answers[file])
         (at / file).write_bytes(xlsx([[c for c in r.split(" | ")] for r in text.split("\n")]) if file.endswith("xlsx") else text.encode("gb18030" if file.endswith("txt") else "utf-8"))
-    more = {"supplier_name": "华东机电设备有限公司", "lines": [line(n, s, "个", 4, p, "10天") for n, s, p in SUPPLEMENT]}
+    more = {"supplier_name": "青禾实验器材有限公司", "lines": [line(n, s, "个", 6, p, "8天") for n, s, p in SUPPLEMENT]}
     more["lines"][1]["source_snippet"] = "不在原文中"
-    answers["华东机电-补充.txt"] = more
-    (at / "华东机电-补充.txt").write_text(text_of(more))
+    answers["青禾器材-补充.txt"] = more
+    (at / "青禾器材-补充.txt").write_text(text_of(more))
     answers["坏.txt"] = {}
     (at / "坏.txt").write_text("无法解析")
     (at / "空.txt").write_text("")
@@ -90,38 +90,38 @@ def run(spark, folder):
 
 def test_files(run):
     kinds = {r.source_file: r.kind for r in run.files.collect()}
-    assert kinds == {"华东机电.xlsx": "excel", "铭泰五交化.txt": "text", "恒力工贸.csv": "text", "_广联.md": "text", "华东机电-补充.txt": "text", "坏.txt": "text", "空.txt": "text", "图.png": "image", "备注.doc": "unsupported"}
+    assert kinds == {"青禾器材.xlsx": "excel", "鸿安劳保.txt": "text", "北原办公.csv": "text", "_启明.md": "text", "青禾器材-补充.txt": "text", "坏.txt": "text", "空.txt": "text", "图.png": "image", "备注.doc": "unsupported"}
     raw = {r.source_file: r for r in run.raw.collect()}
-    assert "| 内六角螺钉 | M8×20 0.05 |" in raw["华东机电.xlsx"].raw_text and "Sheet: 报价" in raw["华东机电.xlsx"].raw_text
+    assert "| 高型烧杯 | 250mL 带刻度 7.4 |" in raw["青禾器材.xlsx"].raw_text and "Sheet: 报价" in raw["青禾器材.xlsx"].raw_text
     assert raw["空.txt"].extraction_warnings == ["空文件"] and raw["图.png"].extraction_warnings[0].startswith("OCR 引擎不可用")
-    assert "铭泰五交化" in raw["铭泰五交化.txt"].raw_text
+    assert "鸿安劳保" in raw["鸿安劳保.txt"].raw_text
 
 
 def test_quotes(run):
     quotes = {r.source_file: r for r in run.quotes.collect()}
     assert quotes["坏.txt"].supplier_name == "未知供应商" and quotes["坏.txt"].warnings[0].startswith("LLM_FAILED")
-    assert any(w.startswith("H1") for w in quotes["华东机电-补充.txt"].warnings)
+    assert any(w.startswith("H1") for w in quotes["青禾器材-补充.txt"].warnings)
     assert {(r.file, r.reason[:5]) for r in run.failures.collect()} == {("坏.txt", "LLM 解"), ("备注.doc", "不支持的格")}
     assert run.lines.count() == 8 + 8 + 7 + 8 + 2
 
 
 def test_rules(run):
     found = run.findings.collect()
-    assert [(r.target, r.rule) for r in found if r.rule == "V3"] == [("华东机电.xlsx#行2", "V3")]
-    assert next(r.message for r in found if r.rule == "V3") == "金额不符: 50×8.5=425 ≠ 报价金额 500（差额 -75）"
-    assert {r.unit for r in run.lines.collect()} == {"件", "台", "条"}
+    assert [(r.target, r.rule) for r in found if r.rule == "V3"] == [("青禾器材.xlsx#行2", "V3")]
+    assert next(r.message for r in found if r.rule == "V3") == "金额不符: 15×32=480 ≠ 报价金额 500（差额 -20）"
+    assert {r.unit for r in run.lines.collect()} == {"件", "台", "卷"}
 
 
 def test_comparison(run):
     groups = {r.item_name: r for r in run.groups.collect()}
     assert run.groups.count() == len(groups) == 8 and all(r.n_entries >= 3 for r in groups.values())
     missing = [(r.item, r.supplier_name) for r in run.missing.collect()]
-    assert missing == [("气缸 SC63×100", "恒力工贸有限公司")]
+    assert missing == [("移液器支架 6位 转盘", "北原办公用品公司")]
     own = {(r.group_key, r.supplier_name): r for r in run.entries.collect()}
-    east = "华东机电设备有限公司"
-    assert own[groups["接近开关"].group_key, east].unit_price == 25.5  # by key
-    assert own[groups["工业吸尘器滤芯"].group_key, east].unit_price == 62  # by the match, then within the group
-    assert groups["内六角螺钉"].min_price == 0.048
+    east = "青禾实验器材有限公司"
+    assert own[groups["防护眼镜"].group_key, east].unit_price == 18.8  # by key
+    assert own[groups["活性炭滤棉"].group_key, east].unit_price == 53.5  # by the match, then within the group
+    assert groups["高型烧杯"].min_price == 7.2
 
 
 def test_outputs(run, tmp_path):
@@ -132,12 +132,12 @@ def test_outputs(run, tmp_path):
     data = json.loads(report.result_json(run))
     assert len(data["comparison"]["groups"]) == 8 and len(data["comparison"]["missing"]) == 1 and len(data["failed_files"]) == 2
     text = report.report(run)
-    assert "处理文件数: 9" in text and "报价行总数: 33" in text and "[V3] 华东机电.xlsx#行2" in text
+    assert "处理文件数: 9" in text and "报价行总数: 33" in text and "[V3] 青禾器材.xlsx#行2" in text
 
 
 def test_cached_answers(spark, folder, tmp_path):
     at, answers = folder
-    prompts = spark.createDataFrame([("a.txt", 0, "文件名: 铭泰五交化.txt\nx"), ("b.txt", 0, "文件名: 坏.txt\nx")], "source_file string, chunk_no int, prompt string")
+    prompts = spark.createDataFrame([("a.txt", 0, "文件名: 鸿安劳保.txt\nx"), ("b.txt", 0, "文件名: 坏.txt\nx")], "source_file string, chunk_no int, prompt string")
     ask = lambda model: batch.answered(prompts, lambda: model, "s", "n", {}, cache=str(tmp_path / "c"), delay=0).orderBy("source_file").collect()
     first = ask(Model(answers, ("坏.txt",)))
     assert [r.error is None for r in first] == [True, False]

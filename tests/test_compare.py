@@ -36,7 +36,7 @@ def likely(a, b):
 
 def test_candidates_match_brute_force(spark):
     rnd = random.Random(4)
-    words = ["轴承", "深沟球轴承", "6204", "m8", "螺钉", "M8×20", "a", "ab", "球阀", "dn15", " "]
+    words = ["轴承", "角接触轴承", "7205", "m6", "螺母", "M6×16", "a", "ab", "闸阀", "dn40", " "]
     rows = [(f"f{rnd.randint(0, 3)}", i, f"s{rnd.randint(0, 4)}", "".join(rnd.choices(words, k=rnd.randint(1, 2))), rnd.choice(words), 1.0, 1, "high", []) for i in range(70)]
     m = merged(spark, lines(spark, rows))
     groups = C.first_groups(m)
@@ -106,8 +106,8 @@ def test_rules(spark):
 
 
 def test_supplier_names(spark):
-    raw = spark.createDataFrame([("a", "，华东机电有限公司，恒力工贸有限公司"), ("b", "，华东机电有限公司，华东机电有限公司"), ("c", ""), ("d", None)], "source_file string, raw_text string")
-    assert [(r.source_file, r.names) for r in R.supplier_names(raw).collect()] == [("a", ["华东机电有限公司", "恒力工贸有限公司"])]
+    raw = spark.createDataFrame([("a", "，云川仪器有限公司，远桥商贸有限公司"), ("b", "，云川仪器有限公司，云川仪器有限公司"), ("c", ""), ("d", None)], "source_file string, raw_text string")
+    assert [(r.source_file, r.names) for r in R.supplier_names(raw).collect()] == [("a", ["云川仪器有限公司", "远桥商贸有限公司"])]
 
 
 def test_snippets(spark):

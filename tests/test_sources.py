@@ -16,8 +16,26 @@ def test_engines():
     text, warnings, low = files.ocr_text(b"x", "image", ocr.engine("paddle"))
     assert (text, low) == ("", []) and warnings[0].startswith("OCR 引擎不可用")
     assert files.ocr_text(b"", "image", lambda d, k: 1 / 0)[1] == ["OCR 处理失败: division by zero"]
+
+
+def test_straightening():
     assert ocr.straightened(np.zeros((2, 2))).shape == (2, 2)
-    assert ocr.corners(np, np.array([[9, 8], [0, 0], [1, 9], [8, 1]])).tolist() == [[0, 0], [8, 1], [9, 8], [1, 9]]
+    page = np.full((300, 400, 3), 255.0)
+    for y in range(40, 260, 20):
+        page[y : y + 4, 50:350] = 0
+    assert abs(ocr.slant(page.mean(axis=2))) < 0.11 and ocr.levelled(page) is page
+    for degrees in (-6.0, 4.0):
+        c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+        turned = ocr.sampled(page, np.array([[c, s, 200 - c * 200 - s * 150], [-s, c, 150 + s * 200 - c * 150], [0, 0, 1]]), (300, 400))
+        assert abs(ocr.slant(turned.mean(axis=2)) - degrees) < 0.3
+        assert abs(ocr.slant(ocr.levelled(turned).mean(axis=2))) < 0.3
+    corners = np.array([[60.0, 40], [340, 55], [350, 260], [50, 250]])
+    y, x = np.mgrid[:300, :400]
+    sides = zip(corners, np.roll(corners, -1, axis=0), strict=True)
+    inside = np.all([(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in sides], axis=0)
+    photo = np.where(inside[:, :, None], 230.0, 20.0) * np.ones(3)
+    assert np.abs(ocr.sheet(photo.mean(axis=2)) - corners).max() < 4
+    assert ocr.straightened(photo).mean() > 225 and ocr.sheet(page.mean(axis=2)) is None
 
 
 def test_settings(tmp_path, monkeypatch):
@@ -37,16 +55,19 @@ def test_settings(tmp_path, monkeypatch):
     assert os.environ.pop("A_KEY") == "x" and os.environ["B_KEY"] == "kept" and settings.env_file(tmp_path / "none") == {}
 
 
-def test_profiles(tmp_path, monkeypatch):
-    llm = settings.DEFAULTS["llm"]
-    assert settings.profiles(None, llm)["active"] == "default"
-    own = tmp_path / "m.yml"
-    own.write_text("active: gone\nprofiles:\n- {name: a, base_url: u, model: m, api_key: k}\n- {name: b, base_url: u, model: m}\n")
-    got = settings.profiles(own, llm)
-    assert got["active"] == "a" and settings.profile_key(got["profiles"][0]) == "k"
-    monkeypatch.setenv("B_API_KEY", "z")
-    view = settings.public_view(got["profiles"][1])
-    assert view["key_configured"] and "z" not in map(str, view.values()) and "api_key" not in view
+def test_layers():
+    assert settings.layered({"a": {"b": 1, "c": {"d": 2}}, "e": [1]}, {"a": {"c": {"d": 3, "x": 4}}, "e": None}) == {"a": {"b": 1, "c": {"d": 3, "x": 4}}, "e": None}
+    assert settings.layered({"a": {"b": 1}}, {"a": 5}) == {"a": 5} and settings.layered({"a": 5}, {"a": {"b": 1}}) == {"a": {"b": 1}} and settings.layered({"a": {"b": 1}}, None, {"a": {}}) == {"a": {}}
+
+
+def test_pdf_pieces():
+    class Page:
+        def __init__(self, text, tables):
+            self.extract_text, self.extract_tables = lambda: text, lambda: tables
+
+    text = files.rendered(files.pdf_pieces([Page("报价", [[["a", None], [], [1.0, True]]]), Page(None, [[]]), Page("", None)]))
+    assert text == "[第1页 文本]\n报价\n\n[第1页 表格]\n| a |  |\n| --- | --- |\n| 1 | 是 |"
+    assert files.rendered([("Sheet: x", [["a"], [None, "b"], [], [""]]), ("Sheet: y", [[]])]) == "Sheet: x\n| a |  |\n| --- | --- |\n|  | b |"
 
 
 def test_units(tmp_path):
@@ -58,7 +79,7 @@ def test_units(tmp_path):
 
 def test_answers():
     assert X.json_part('```json\n{"a": 1}\n```') == {"a": 1} and X.json_part('so: {"a": {"b": 2}} end') == {"a": {"b": 2}}
-    for bad in ("", "none", "{not json}", None):
+    for bad in ("", "none", "{not json}", None, '{"a": 1} and {"b": 2}'):
         with pytest.raises(ValueError):
             X.json_part(bad)
     waits, tries = [], []
