@@ -88,27 +88,28 @@ def lead_term(c: Column) -> Column:
     return F.regexp_replace(ascii_digits(strip(c)), LEAD_NOISE, "")
 
 
-def term_days(c: Column, t: Column) -> Column:
-    """Days of the term c, of which t is the lead_term."""
+def lead_numbers(t: Column) -> dict[str, Column]:
+    """What each form of a lead_term finds in it, empty for a form that doesn't fit: so that every pattern is matched once."""
     s = rf"{SPACE}*"
     days = rf"{s}(?:个)?(?:工作日|天|日)"
-    span, day = rf"(?U){LEAD_NUMBER}{s}[-~到至]{s}{LEAD_NUMBER}{days}", rf"(?U){LEAD_NUMBER}{days}"
-    week, half, month = rf"(?U){LEAD_NUMBER}{s}(?:个)?(?:星期|周)", "半(?:个)?月", rf"(?U){LEAD_NUMBER}{s}(?:个)?月"
-    # the number of the first form that fits, and its days; half a month has no number
-    forms = ((span, 1), (day, 1), (week, 7), (half, 0), (month, 30))
-    number = scale = None
-    for pattern, n in forms:
-        own = F.regexp_extract(t, pattern, 1) if n else F.lit("零")
-        number = F.when(t.rlike(pattern), own) if number is None else number.when(t.rlike(pattern), own)
-        scale = F.when(t.rlike(pattern), n) if scale is None else scale.when(t.rlike(pattern), n)
-    until = F.when(t.rlike(span), chinese_int(F.regexp_extract(t, span, 2)))
-    counted = F.when(scale == 0, 15).otherwise(F.greatest(chinese_int(number), until) * scale)
-    return F.when(c.rlike(IN_STOCK), 0).otherwise(counted).cast("int")
+    span = rf"(?U){LEAD_NUMBER}{s}[-~到至]{s}{LEAD_NUMBER}{days}"
+    return {
+        "span": F.regexp_extract(t, span, 1), "until": F.regexp_extract(t, span, 2), "day": F.regexp_extract(t, rf"(?U){LEAD_NUMBER}{days}", 1),
+        "week": F.regexp_extract(t, rf"(?U){LEAD_NUMBER}{s}(?:个)?(?:星期|周)", 1), "half": F.regexp_extract(t, "半(?:个)?月", 0), "month": F.regexp_extract(t, rf"(?U){LEAD_NUMBER}{s}(?:个)?月", 1),
+    }
+
+
+def term_days(c: Column, found: dict[str, Column]) -> Column:
+    """Days of the term c from what its forms find; the first form that fits counts."""
+    out = F.when(c.rlike(IN_STOCK), 0).when(found["span"] != "", F.greatest(chinese_int(found["span"]), chinese_int(found["until"])))
+    for form, days in (("day", 1), ("week", 7)):
+        out = out.when(found[form] != "", chinese_int(found[form]) * days)
+    return out.when(found["half"] != "", 15).when(found["month"] != "", chinese_int(found["month"]) * 30).cast("int")
 
 
 def parse_lead_time(c: Column) -> Column:
     """Days of a delivery term, the larger of a range; null if it can't be told. The first form that fits counts."""
-    return term_days(c, lead_term(c))
+    return term_days(c, lead_numbers(lead_term(c)))
 
 
 def _folded(c: Column) -> Column:

@@ -53,7 +53,15 @@ def classify_files(spark, sf_dir):
     return rows.select("page_id", S.kind_of(F.col("file")).alias("kind"))
 
 
-@query()
+@query("""WITH RECURSIVE pieces AS (
+  SELECT doc_id, i AS n, parts[i] || CASE WHEN i < len(parts) THEN chr(10) ELSE '' END AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) p, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) u
+), lines AS (SELECT doc_id, n, line, length(line) AS size FROM pieces WHERE line <> '' OR n = 1
+), walk AS (
+  SELECT doc_id, n, line, size, 0 AS chunk_no FROM lines WHERE n = 1
+  UNION ALL SELECT l.doc_id, l.n, l.line, CASE WHEN w.size + l.size > 2000 THEN l.size ELSE w.size + l.size END, CASE WHEN w.size + l.size > 2000 THEN w.chunk_no + 1 ELSE w.chunk_no END
+  FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.n = w.n + 1
+), chunks AS (SELECT doc_id, chunk_no, string_agg(line, '' ORDER BY n) AS chunk FROM walk GROUP BY doc_id, chunk_no)
+SELECT doc_id, chunk_no, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n_chunks, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS chunk_md5 FROM chunks""")
 def text_chunks(spark, sf_dir):
     """L1 over documents: lines packed into chunks of 2,000 characters."""
     rows = X.chunk_texts(D.table(spark, sf_dir, "documents").select("doc_id", "text"), 2000, "doc_id", "text")
@@ -71,6 +79,68 @@ def h1_provenance(spark, sf_dir):
     return R.check_snippets(lines, raw).select("doc_id", "h1")
 
 
+@query(r"""SELECT doc_id, poor AS ocr_low, CASE WHEN poor OR lost THEN 'low' ELSE 'high' END AS confidence, concat_ws(',', CASE WHEN lost THEN 'H1' END, CASE WHEN poor THEN 'OCR' END) AS flags FROM (
+  SELECT doc_id, snippet <> '' AND doc_id % 4 = 0 AND low <> '' AND (contains(low, snippet) OR contains(snippet, low)) AS poor, raw = '' OR NOT contains(whole, snippet) AS lost FROM (
+    SELECT doc_id, snippet AS raw, regexp_replace(text, '[\s|]+', '', 'g') AS whole, regexp_replace(snippet, '[\s|]+', '', 'g') AS snippet, regexp_replace(substr(text, 1, 30), '[\s|]+', '', 'g') AS low
+    FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN '~~no such words~~' WHEN 1 THEN substr(text, 6, 8) ELSE substr(text, 25, 40) END AS snippet FROM documents)))""")
+def ocr_provenance(spark, sf_dir):
+    """Snippets held against lines that were read badly."""
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("source_file"), F.col("text").alias("raw_text"))
+    snippet = F.when(F.col("doc_id") % 3 == 0, "~~no such words~~").when(F.col("doc_id") % 3 == 1, F.substring("raw_text", 6, 8)).otherwise(F.substring("raw_text", 25, 40))
+    lines = docs.select("source_file", "doc_id", snippet.alias("source_snippet"), F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("flags"))
+    raw = docs.select("source_file", "raw_text", F.when(F.col("doc_id") % 4 == 0, F.array(F.substring("raw_text", 1, 30))).alias("low_ocr_lines"))
+    return R.check_snippets(lines, raw).select("doc_id", "ocr_low", "confidence", F.array_join("flags", ",").alias("flags"))
+
+
+#: Price lists made of parts: a file's answers come in two chunks, some chunks fail, some lines aren't valid.
+_LISTS = """parts AS (SELECT p_partkey % 200 AS f, (p_partkey // 200) % 2 AS c, p_partkey, p_name, p_size % 10 <> 0 AS ok FROM part),
+files AS (SELECT f, f % 17 = 0 AS blank, f % 13 = 5 AS failed, CASE WHEN f % 5 IN (0, 1) THEN 'Second ' || f ELSE 'Vendor ' || f END AS supplier FROM range(200) r(f))"""
+
+
+def _price_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = spark.range(200).select(F.col("id").alias("f"))
+    name = F.concat(F.lit("list-"), F.col("f").cast("string"), F.lit(".txt"))
+    raw = files.select(name.alias("source_file"), F.lit("text").alias("kind"), F.when(F.col("f") % 17 == 0, " ").otherwise("x").alias("raw_text"), F.array().cast("array<string>").alias("extraction_warnings"))
+    pa = D.table(spark, sf_dir, "part").select((F.col("p_partkey") % 200).alias("f"), (F.floor(F.col("p_partkey") / 200) % 2).alias("c"), "p_partkey", "p_name", F.when(F.col("p_size") % 10 == 0, "mid").otherwise("high").alias("confidence"))
+    line = F.struct("p_partkey", F.col("p_name").alias("item_name"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("unit_price_raw"), "confidence")
+    own = pa.groupBy("f", "c").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    chunks = files.filter("f % 17 != 0").withColumn("c", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))).join(own, ["f", "c"], "left")
+    number = F.col("f").cast("string")
+    supplier = F.when(F.col("c") == 1, F.concat(F.lit("Second "), number)).when(F.col("f") % 5 == 0, "").when(F.col("f") % 5 == 1, X.UNKNOWN_SUPPLIER).otherwise(F.concat(F.lit("Vendor "), number))
+    lines = F.transform(F.coalesce("lines", F.array().cast("array<struct<p_partkey:bigint,item_name:string,unit_price_raw:string,confidence:string>>")), lambda x: x.dropFields("p_partkey"))
+    lost = (F.col("f") % 13 == 5) & (F.col("c") == 1)
+    answer = F.to_json(F.struct(supplier.alias("supplier_name"), lines.alias("lines")))
+    return raw, chunks.select(name.alias("source_file"), F.col("c").cast("int").alias("chunk_no"), F.when(~lost, answer).alias("answer"), F.when(lost, "no answer").alias("error"))
+
+
+@query(f"""WITH {_LISTS} SELECT 'list-' || f || '.txt' AS source_file, CAST(row_number() OVER (PARTITION BY f ORDER BY c, p_partkey) AS INTEGER) AS line_no, supplier AS supplier_name, p_name AS item_name, 'P' || p_partkey AS unit_price_raw
+FROM parts JOIN files USING (f) WHERE ok AND NOT blank AND NOT failed""")
+def parsed_lines(spark, sf_dir):
+    """The lines of answers in chunks."""
+    _, lines = X.parse_files(*_price_lists(spark, sf_dir))
+    return lines.select("source_file", "line_no", "supplier_name", "item_name", "unit_price_raw")
+
+
+@query(f"""WITH {_LISTS}, bad AS (SELECT f, count(*) AS n FROM parts WHERE NOT ok GROUP BY f)
+SELECT 'list-' || f || '.txt' AS source_file, CASE WHEN blank OR failed THEN '未知供应商' ELSE supplier END AS supplier_name, CAST(CASE WHEN blank THEN 1 WHEN failed THEN 2 ELSE 1 + coalesce(n, 0) END AS INTEGER) AS n_warnings,
+  failed AND NOT blank AS failed FROM files LEFT JOIN bad USING (f)""")
+def parsed_quotes(spark, sf_dir):
+    """Suppliers and warnings of files by their answers."""
+    quotes, _ = X.parse_files(*_price_lists(spark, sf_dir))
+    return quotes.select("source_file", "supplier_name", F.size("warnings").alias("n_warnings"), P.failed("warnings").alias("failed"))
+
+
+@query("""SELECT page_id, substr(sha256('{"messages": [{"content": "s", "role": "system"}, {"content": "page ' || page_id || '", "role": "user"}], "rf": null}'), 1, 16) AS request,
+  CASE WHEN page_id % 3 <> 0 THEN '{"n": ' || page_id || '}' END AS answer, page_id % 3 = 0 AS lost FROM pages""")
+def replayed_answers(spark, sf_dir):
+    """Answers from recordings, joined by the request's key."""
+    prompts = D.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("prompt"))
+    recorded = F.substring(F.sha2(F.encode(F.concat(F.lit('{"messages": [{"content": "s", "role": "system"}, {"content": "'), "prompt", F.lit('", "role": "user"}], "rf": null}')), "UTF-8"), 256), 1, 16)
+    recordings = prompts.filter("page_id % 3 != 0").select(recorded.alias("request"), F.concat(F.lit('{"n": '), F.col("page_id").cast("string"), F.lit("}")).alias("answer"))
+    rows = X.replayed(prompts, recordings, "s", "n", {}, "none")
+    return rows.select("page_id", "request", "answer", F.col("error").isNotNull().alias("lost"))
+
+
 @query("""SELECT user_id, count(*) AS n_lines, count(*) FILTER (WHERE value / 100 < 0.85) AS n_low, count(*) FILTER (WHERE value / 100 < 0.85) > 0 AS has_low FROM events GROUP BY user_id""")
 def ocr_low_lines(spark, sf_dir):
     """Lines read with a score under the threshold, a file for each user."""
@@ -100,6 +170,24 @@ def supplier_consistency(spark, sf_dir):
     return R.supplier_names(raw).select(F.col("source_file").alias("doc_id"), F.array_join("names", "、").alias("names"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 2) THEN 'V7' ELSE '' END AS flags, CASE doc_id % 4 WHEN 0 THEN '同一文件出现多个供应商名称: 云川仪器有限公司、远桥商贸有限公司，整个文件标黄待人工确认' WHEN 2 THEN '同一文件出现多个供应商名称: 海棠轴件销售部、清林工厂，整个文件标黄待人工确认' END AS message FROM documents""")
+def supplier_flags(spark, sf_dir):
+    """V7: the flag of the lines and the finding of files that name several suppliers."""
+    tail = F.element_at(F.array(*map(F.lit, ("，云川仪器有限公司，远桥商贸有限公司", "，云川仪器有限公司，云川仪器有限公司", "，海棠轴件销售部，清林工厂。", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    raw = checkpointed(D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), F.concat("text", tail).alias("raw_text")))
+    lines = raw.select("source_file", F.array().cast("array<string>").alias("flags"))
+    found = R.supplier_findings(raw).select("source_file", "message")
+    return R.flag_suppliers(lines, raw).join(found, "source_file", "left").select(F.col("source_file").alias("doc_id"), F.array_join("flags", ",").alias("flags"), "message")
+
+
+@query(r"""WITH named AS (SELECT p_partkey, array_to_string(regexp_extract_all(translate(lower(p_name), 'abcdefghij', '甲乙丙丁戊己庚辛壬癸'), '[\x{4e00}-\x{9fff}]+'), '') AS run FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_distinct([substr(run, i, 3) for i in range(1, greatest(length(run) - 1, 1))])), ' ') AS grams FROM named""")
+def ideograph_runs(spark, sf_dir):
+    """runs of three ideographs, from names whose letters are made ideographs."""
+    name = F.translate(F.lower("p_name"), "abcdefghij", "甲乙丙丁戊己庚辛壬癸")
+    return D.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(T.cjk_grams(T.normalize_text(name))), " ").alias("grams"))
+
+
 @query(r"SELECT p_partkey, regexp_replace(lower(p_name), '\s+', '', 'g') || '|' || regexp_replace(lower(p_type || ' ' || p_size || 'x' || p_size), '\s+', '', 'g') AS item_key FROM part")
 def normalize_key(spark, sf_dir):
     """F6, F7."""
@@ -255,6 +343,14 @@ def group_dedupe(spark, sf_dir):
     return C.dedupe_in_group(rows).select("group_key", "supplier_name", "source_file", "n_seen")
 
 
+@query(f"""WITH {D.SQL_MERGED}, ranked AS (SELECT *, is_supplement || source_file AS r, max(is_supplement || source_file) OVER (PARTITION BY item_name, supplier_name ORDER BY spec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM merged)
+SELECT item_name AS group_key, supplier_name, supplier_name || ': ' || item_name || ' 以 ' || CASE WHEN r >= best THEN source_file ELSE substr(best, 2) END || ' 覆盖 ' || CASE WHEN r >= best THEN substr(best, 2) ELSE source_file END AS note FROM ranked WHERE best IS NOT NULL""")
+def group_dedupe_notes(spark, sf_dir):
+    """Which file replaces which inside a group."""
+    rows = _merged(spark, sf_dir).select(F.col("item_name").alias("group_key"), F.col("item_name").alias("group_name"), "supplier_name", "is_supplement", "source_file", F.col("spec").alias("entry_ord"))
+    return C.dedupe_notes(rows).select("group_key", "supplier_name", "note")
+
+
 @query(f"WITH {D.SQL_STATS} SELECT item_key, n_entries, n_priced, min_price, max_price, round(avg_price, 6) AS avg_price FROM stats")
 def price_stats(spark, sf_dir):
     """A1."""
@@ -304,6 +400,17 @@ def detail_rows(spark, sf_dir):
     return P.detail(_checked(spark, sf_dir).withColumn("supplier_name", F.lit(""))).select("source_file", "line_no", "item_name", "quantity", "unit_price", "tax", "flags", "yellow")
 
 
+@query(f"""WITH {D.SQL_RAW}, f AS (SELECT *, concat_ws(',', CASE WHEN item_name = ' ' OR unit_price_raw = '' THEN 'V1' END, CASE WHEN line_no IN (5, 6) THEN 'V2' END,
+  CASE WHEN amount IS NOT NULL AND unit_price IS NOT NULL AND CASE WHEN amount = 0 THEN quantity * unit_price <> 0 ELSE abs(quantity * unit_price - amount) > 0.02 * abs(amount) END THEN 'V3' END, CASE WHEN line_no = 7 THEN 'V5' END) AS flags FROM parsed)
+SELECT source_file, line_no, 'S' || line_no AS supplier_name, item_name, '' AS spec, q || '件' AS quantity_raw, quantity, CASE unit WHEN ' PCS' THEN '件' WHEN 'Sets' THEN '套' ELSE unit END AS unit, unit_price_raw, unit_price, amount_raw,
+  CASE WHEN line_no = 3 THEN 'USD' ELSE 'CNY' END AS currency, CASE WHEN remark = '不含税' THEN '未税' WHEN remark = '含税' OR line_no = 4 THEN '含税' ELSE '' END AS tax, lead_time_raw, CAST(days AS INTEGER) AS lead_time_days, '' AS payment_terms, remark,
+  'high' AS confidence, flags, '' AS source_snippet FROM f""")
+def detail_sheet(spark, sf_dir):
+    """All columns of the long table."""
+    rows = _checked(spark, sf_dir).withColumn("supplier_name", F.concat(F.lit("S"), F.col("line_no").cast("string")))
+    return P.detail(rows).drop("yellow")
+
+
 @query("""SELECT 'order-' || l_orderkey AS source_file, count(*) AS n_lines, CAST(max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) + max(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) AS INTEGER) AS n_warnings,
 CASE WHEN max(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) = 1 THEN '失败' WHEN max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) = 1 THEN '警告' ELSE '正常' END AS status FROM lineitem GROUP BY l_orderkey""")
 def file_stats(spark, sf_dir):

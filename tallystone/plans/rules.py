@@ -96,7 +96,9 @@ def currency_and_tax(options: dict) -> Outcome:
 def lead_times(options: dict) -> Outcome:
     text, days = F.col("_lead_text"), F.col("_lead_days")
     bad = (text != "") & days.isNull()
-    before = [{"_lead_text": T.strip(F.coalesce(F.col("lead_time_raw"), F.lit("")))}, {"_lead_term": T.lead_term(text)}, {"_lead_days": T.term_days(text, F.col("_lead_term"))}]
+    found = T.lead_numbers(F.col("_lead_term"))
+    before = [{"_lead_text": T.strip(F.coalesce(F.col("lead_time_raw"), F.lit("")))}, {"_lead_term": T.lead_term(text)}, {f"_lead_{k}": c for k, c in found.items()}]
+    before.append({"_lead_days": T.term_days(text, {k: F.col(f"_lead_{k}") for k in found})})
     return Outcome(before, {"lead_time_days": F.coalesce(days, F.col("lead_time_days"))}, bad, [(bad, F.concat(F.lit("交期无法解析为天数（保留原文）: "), T.quoted(text)))])
 
 

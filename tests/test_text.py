@@ -56,3 +56,16 @@ def test_small_texts(spark):
     assert apply(spark, T.safe_name, ['a/b:c*"d|']) == ["a_b_c__d_"]
     assert apply(spark, T.chinese_int, ["七", "十", "十二", "二十", "两", "15", "百", "二三", ""]) == [7, 10, 12, 20, 2, 15, None, None, None]
     assert apply(spark, T.is_supplement, ["x-补充.txt", "更正", "更新1", "x"]) == [1, 1, 1, 0]
+
+
+def test_functions_in_sql(spark):
+    from tallystone.functions import sql
+
+    assert "chunk_lines" in sql.register(spark)
+    rows = spark.createDataFrame([("约 3-5 天", "12块5"), ("半个月", "¥1,234.50"), ("两周", None), ("面议", "x")], "t string, p string")
+    rows.createOrReplaceTempView("terms")
+    got = spark.sql("SELECT parse_lead_time(t), parse_number(p), detect_tax(concat(t, '不含税')), item_key(t, p) FROM terms").collect()
+    want = rows.select(T.parse_lead_time(F.col("t")), T.parse_number(F.col("p")), T.detect_tax(F.concat("t", F.lit("不含税"))), T.item_key(F.col("t"), F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and got[0][0] == 5 and got[1][1] == 1234.5
+    got = spark.sql("SELECT d.i, c.* FROM VALUES (1, 'aa\nbbbbbb\nc\n'), (2, NULL), (3, '') AS d(i, x), LATERAL chunk_lines(d.x, 5) c ORDER BY 1, 2").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 3, "aa\n"), (1, 1, 3, "bbbbbb\n"), (1, 2, 3, "c\n"), (3, 0, 1, "")]
