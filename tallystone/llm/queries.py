@@ -54,6 +54,21 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP3_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s FROM items, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) u WHERE len(w) > 0
+), docs AS (SELECT doc_id, {_WORDS} AS w FROM documents
+), places AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS s FROM docs, (SELECT DISTINCT k FROM windows) l, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) u WHERE len(w) >= k
+), hits AS (SELECT doc_id, i, k, item_id FROM places JOIN windows USING (k, s)
+), marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id
+), found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
 QUERIES = {
     "op1_mtree_top_k": op1_mtree_top_k,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -69,6 +84,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mtree_top_k": OP1_SQL,
+    "op3_decontaminate": OP3_SQL,
     "op4_line_spread": OP4_SQL,
     "op9_url_cascade": OP9_SQL,
 }
