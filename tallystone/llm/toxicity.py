@@ -110,11 +110,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
 
     Documents whose crc32 of the id modulo 5 is 0 are never looked at. Null labels and ids are left out; an id
     that has several labels or texts counts with each. Without labelled rows of both kinds the lexicon is
-    empty and the curve gives every text the same low score.
+    empty and the curve gives every text the same low score. The labels that are fitted, `rows` at most, are sent
+    to every executor, so only the texts that have one are moved.
     """
     known = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).distinct()
     known = known.filter(F.crc32(F.col("i").cast("string")) % 5 != 0).orderBy(F.xxhash64("i"), "i", "y").limit(rows)
-    own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(known, "i").withColumn("held", F.pmod(F.xxhash64(F.lit(6), "i"), F.lit(3)) == 0)
+    own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(known), "i").withColumn("held", F.pmod(F.xxhash64(F.lit(6), "i"), F.lit(3)) == 0)
     own = checkpointed(own.repartition("i"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
