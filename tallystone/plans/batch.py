@@ -17,6 +17,7 @@ from ..operators import compare as C
 from ..operators import extraction as X
 from ..schemas import MATCH_PAYLOAD
 from ..sources import files as S
+from ..sources.settings import DEFAULTS, layered
 from ..workspace import checkpointed, scratch
 from . import reports as P
 from . import rules as R
@@ -44,9 +45,11 @@ class Run:
     failures: DataFrame
 
 
-def answered(prompts: DataFrame, make: Callable[[], X.Transport], system: str, name: str, schema: dict, cache: str | None = None, mode: str = "json_schema", retries: int = X.MAX_RETRIES, delay: float = X.RETRY_DELAY) -> DataFrame:
-    """prompts with answer and error. With a cache path, good answers are kept there by the hash of the whole request and not asked again."""
+def answered(prompts: DataFrame, make: Callable[[], X.Transport], system: str, name: str, schema: dict, cache: str | None = None, mode: str = "json_schema", retries: int = X.MAX_RETRIES, delay: float = X.RETRY_DELAY, recordings: DataFrame | None = None) -> DataFrame:
+    """prompts with answer and error. With a cache path, good answers are kept there by the hash of the whole request and not asked again. With recordings nobody is asked: the answers are joined."""
     spark = prompts.sparkSession
+    if recordings is not None:
+        return checkpointed(X.with_json(X.replayed(prompts, recordings, system, name, schema, mode)))
     keyed = prompts.withColumn("request", F.sha2(F.concat_ws("\n", F.lit(system), F.lit(name), F.lit(mode), "prompt"), 256))
     call = lambda rows: X.call_model(rows, make, system, name, schema, mode, retries, delay)
     if cache is None:
@@ -63,6 +66,22 @@ def answered(prompts: DataFrame, make: Callable[[], X.Transport], system: str, n
     return checkpointed(asked.unionByName(old))
 
 
+def extracted(files: DataFrame, engine: S.OcrEngine, threshold: float, cache: str | None = None) -> DataFrame:
+    """The raw texts of files. With a cache path texts are kept there by kind and content and not read again; those with warnings, which another run may read better, aren't kept."""
+    spark = files.sparkSession
+    if cache is None:
+        return S.extract(files, engine, threshold)
+    keyed = files.withColumn("text_key", F.sha2(F.concat(F.encode(F.concat_ws("|", "kind", S.suffix(F.col("source_file")), F.lit(str(threshold)), F.lit("")), "UTF-8"), "content"), 256))
+    keys, fields = keyed.select("source_file", "text_key"), ("raw_text", "extraction_warnings", "low_ocr_lines")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    known = spark.read.parquet(cache).dropDuplicates(["text_key"]) if there else None
+    new = checkpointed(S.extract(keyed.join(known.select("text_key"), "text_key", "left_anti") if there else keyed, engine, threshold))
+    old = checkpointed(keyed.select("source_file", "kind", "text_key").join(known.select("text_key", *fields), "text_key").drop("text_key")) if there else None
+    new.filter(F.size("extraction_warnings") == 0).join(keys, "source_file").select("text_key", *fields).dropDuplicates(["text_key"]).write.mode("append").parquet(cache)
+    return new.unionByName(old) if there else new
+
+
 def match_answers(pairs: DataFrame, make: Callable[[], X.Transport] | None, per_prompt: int = PAIRS_PER_PROMPT, prompt: str = MATCH_PROMPT, **options) -> tuple[DataFrame, bool]:
     """(results, failed): the answers to all pairs in their order, asked in prompts of bounded length; failed if any prompt did."""
     part = F.floor(F.col("pair_id").cast("long") / per_prompt)
@@ -83,7 +102,7 @@ def compare_lines(lines: DataFrame, make: Callable[[], X.Transport] | None = Non
     groups = checkpointed(C.first_groups(merged))
     notes = [C.merge_notes(keyed).select(F.lit(0).alias("kind"), F.struct("is_supplement", "source_file", "line_no").cast("string").alias("o"), "note")]
     mapping = groups.select("item_key", F.col("item_key").alias("final_key"), (F.row_number().over(Window.orderBy("group_place", "item_key")) - 1).alias("group_ord"), F.lit(False).alias("review"), F.array().cast("array<string>").alias("notes"))
-    pairs = checkpointed(C.numbered(C.candidate_pairs(merged, groups, normalize))) if make else None
+    pairs = checkpointed(C.numbered(C.candidate_pairs(merged, groups, normalize))) if make or options.get("recordings") is not None else None
     if pairs is not None and not pairs.isEmpty():
         results, failed = match_answers(pairs, make, **options)
         if failed:
@@ -113,17 +132,24 @@ def compare_lines(lines: DataFrame, make: Callable[[], X.Transport] | None = Non
 
 
 def run(
-    spark: SparkSession, folder: str, make: Callable[[], X.Transport], engine: S.OcrEngine = S.no_engine, settings: dict | None = None, cache: str | None = None, quote_prompt: str = QUOTE_PROMPT, match_prompt: str = MATCH_PROMPT,
+    spark: SparkSession, folder: str, make: Callable[[], X.Transport] | None = None, engine: S.OcrEngine = S.no_engine, settings: dict | None = None, cache: str | None = None, quote_prompt: str = QUOTE_PROMPT, match_prompt: str = MATCH_PROMPT,
 ) -> Run:
-    """All tables of a run over a folder. Files that fail in any step are listed and don't stop the others."""
+    """All tables of a run over a folder. Files that fail in any step are listed and don't stop the others.
+
+    Without `make` the answers come from the settings: recordings in llm.replay_dir, else the endpoint that llm
+    names. With a cache path answers are kept in cache/answers by their requests, and texts in cache/texts by the
+    contents of their files, so that a rerun reads and asks only for what is new, whatever the files are called.
+    """
     settings = settings or {}
     llm, compare = settings.get("llm", {}), settings.get("compare", {})
-    options = {"cache": cache, "retries": int(llm.get("max_retries", X.MAX_RETRIES)), "delay": float(llm.get("retry_delay", X.RETRY_DELAY)), "mode": llm.get("structured_mode", "json_schema")}
+    replay = llm.get("replay_dir") if make is None else None
+    make = make if make or replay else X.http_of(layered(DEFAULTS, settings)["llm"])
+    options = {"cache": f"{cache}/answers" if cache else None, "recordings": X.recordings(spark, replay) if replay else None, "retries": int(llm.get("max_retries", X.MAX_RETRIES)), "delay": float(llm.get("retry_delay", X.RETRY_DELAY)), "mode": llm.get("structured_mode", "json_schema")}
     path = scratch(spark, "run")
     S.classify(S.scan(spark, folder)).write.parquet(f"{path}/files")
     files = spark.read.parquet(f"{path}/files")
     threshold = float(settings.get("ocr", {}).get("min_char_confidence", S.LOW_SCORE))
-    S.extract(files.filter("kind != 'unsupported'"), engine, threshold).write.parquet(f"{path}/raw")
+    extracted(files.filter("kind != 'unsupported'"), engine, threshold, f"{cache}/texts" if cache else None).write.parquet(f"{path}/raw")
     raw = spark.read.parquet(f"{path}/raw")
     limit = int(int(llm.get("context_chars", X.CONTEXT_CHARS)) * X.CONTEXT_SHARE)
     chunks = X.chunk_texts(raw.filter(~T.is_blank(F.col("raw_text"))), limit)

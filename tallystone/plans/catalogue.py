@@ -10,8 +10,8 @@ from ..operators import compare as C
 from ..operators import extraction as X
 from ..sources import files as S
 from ..sources import testdata as D
-from ..streaming.latest import latest_of_files
-from ..workspace import checkpointed
+from ..streaming.latest import append_available, latest_in_windows, latest_of_files, lines_of_files
+from ..workspace import checkpointed, scratch
 from . import reports as P
 from . import rules as R
 
@@ -450,3 +450,22 @@ def stream_latest_quotes(spark, sf_dir):
     schema = D.table(spark, sf_dir, "events").schema
     rows = latest_of_files(spark, f"{sf_dir}/events.parquet", schema, ("user_id", "event_type"), ("ts", "event_id"))
     return rows.select("user_id", "event_type", "event_id", "value")
+
+
+@query(ORACLE_SQL["findings_union"])
+def stream_findings(spark, sf_dir):
+    """V1 to V6 over lines that come as a stream: the rules keep no state, and each file is checked once."""
+    base = scratch(spark, "findings")
+    lines = lines_of_files(spark, f"{sf_dir}/lineitem.parquet", D.table(spark, sf_dir, "lineitem").schema)
+    append_available(R.findings(R.apply_rules(D.raw_lines_of(lines))), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("source_file", "rule", "target", "message")
+
+
+@query("""WITH bounds AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), w AS (SELECT *, date_trunc('day', ts) AS window_start, row_number() OVER (PARTITION BY date_trunc('day', ts), user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+SELECT strftime(window_start, '%Y-%m-%d') AS day, user_id, event_id, value FROM w, bounds WHERE rn = 1 AND window_start + INTERVAL 1 DAY <= mark""")
+def stream_daily_latest(spark, sf_dir):
+    """The latest event of each user and day, of the days that the watermark has closed."""
+    base, schema = scratch(spark, "daily"), D.table(spark, sf_dir, "events").schema
+    rows = latest_in_windows(lines_of_files(spark, f"{sf_dir}/events.parquet", schema).withColumn("at", F.col("ts").cast("timestamp")), ("user_id",), ("ts", "event_id"), "at", "1 day", "1 day")
+    append_available(rows, f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "user_id", "event_id", "value")

@@ -36,14 +36,18 @@ def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as unparsed quotes, with the defects that the rules look for."""
+    return raw_lines_of(table(spark, sf_dir, "lineitem"))
+
+
+def raw_lines_of(lineitem: DataFrame) -> DataFrame:
+    """Order lines, of a table or a stream, as unparsed quotes with the defects that the rules look for."""
     n, q, up = F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("long")
     text = lambda *xs: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in xs])
     price = F.when(n == 1, text("¥", up)).when(n == 2, text(up, "块5")).when(n == 3, text("$", up)).when(n == 4, text(up, "元（含税13%）")).when(n == 5, text("l", up, "元")).when(n == 6, F.lit("面议")).otherwise(F.lit(""))
     lead = F.when(n == 1, text(q, "天")).when(n == 2, text(q, "-", q + 3, "天")).when(n == 3, F.lit("现货")).when(n == 4, text(q, "周")).when(n == 5, F.lit("十二天")).when(n == 6, F.lit("半个月")).otherwise(F.lit("尽快"))
     amount = F.when(F.col("l_returnflag") == "N", F.lit("")).otherwise(text(F.floor("l_extendedprice").cast("long"), "元"))
     none = F.lit(None)
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         _file().alias("source_file"), n.alias("line_no"), F.when(F.col("l_tax") == 0, F.lit(" ")).otherwise(text("item ", F.col("l_partkey"))).alias("item_name"), F.lit("").alias("spec"),
         text(q, "件").alias("quantity_raw"), none.cast("double").alias("quantity"), F.when(F.col("l_linestatus") == "O", " PCS").when(F.col("l_returnflag") == "A", "Sets").otherwise("托").alias("unit"),
         price.alias("unit_price_raw"), none.cast("double").alias("unit_price"), amount.alias("amount_raw"), F.lit("CNY").alias("currency"), none.cast("boolean").alias("tax_included"),

@@ -145,6 +145,43 @@ def test_cached_answers(spark, folder, tmp_path):
     assert [r.error for r in again] == [None, None] and again[0].answer == first[0].answer
 
 
+def test_command_line_over_recordings(spark, folder, tmp_path, capsys):
+    """Answers are recorded under their requests' keys; then a whole run needs no model, and a second one no readers."""
+    from tallystone.__main__ import main
+    from tallystone.operators import extraction as X
+
+    at, answers = folder
+    kept = tmp_path / "replay"
+    kept.mkdir()
+
+    class Recorder(Model):
+        def call(self, messages, response_format):
+            text = super().call(messages, response_format)
+            (kept / f"{X.request_key(messages, response_format)}.json").write_text(json.dumps({"response": text}))
+            return text
+
+    want = batch.run(spark, at, lambda: Recorder(answers, ("坏.txt",)), settings={"llm": {"retry_delay": 0}})
+    want = json.loads(report.result_json(want))
+    for k in range(2):
+        assert main([at, str(tmp_path / f"out{k}"), "--replay", str(kept), "--cache", str(tmp_path / "cache")]) == 0
+        got = json.loads((tmp_path / f"out{k}" / "result.json").read_text())
+        assert got["comparison"] == want["comparison"] and (tmp_path / f"out{k}" / "comparison.xlsx").exists()
+        assert "报价行总数: 33" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "cache" / "texts")).count() == 6
+
+
+def test_answers_of_settings(monkeypatch):
+    from tallystone.operators import extraction as X
+
+    llm = {"base_url": "http://x/", "model": "m", "api_key_env": "A_KEY_OF_TESTS", "temperature": 0.5, "timeout": 3}
+    monkeypatch.delenv("A_KEY_OF_TESTS", raising=False)
+    with pytest.raises(ValueError):
+        X.http_of(llm)
+    monkeypatch.setenv("A_KEY_OF_TESTS", "k")
+    made = X.http_of(llm)()
+    assert (made.url, made.model, made.key, made.temperature, made.timeout) == ("http://x/chat/completions", "m", "k", 0.5, 3)
+
+
 def test_empty_folder(spark, tmp_path):
     out = batch.run(spark, str(tmp_path), lambda: Model({}))
     assert out.lines.count() == out.groups.count() == out.failures.count() == 0

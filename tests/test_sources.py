@@ -119,3 +119,22 @@ def test_stream(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     got = latest_of_files(spark, str(tmp_path / "in"), rows.schema, ("k",), ("t",)).collect()
     assert sorted((r.k, r.t, r.v) for r in got) == [(1, 2, "b"), (2, 5, "c")]
+
+
+def test_stream_of_findings_reads_each_file_once(spark, tmp_path):
+    from tallystone.plans import rules
+    from tallystone.streaming.latest import append_available, lines_of_files
+
+    names = ("item_name", "unit_price_raw", "quantity_raw", "amount_raw", "remark", "currency", "source_snippet", "lead_time_raw", "unit")
+    schema = "source_file string, line_no int, quantity double, unit_price double, lead_time_days int, tax_included boolean, flags array<string>, " + ", ".join(f"{n} string" for n in names)
+
+    def add(k):
+        row = {"source_file": f"f{k}", "line_no": k, "item_name": "", "unit_price_raw": "面议", "lead_time_raw": "尽快", "flags": []}
+        rows = spark.createDataFrame([row], schema)
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        out = str(tmp_path / "out")
+        append_available(rules.findings(rules.apply_rules(lines_of_files(spark, str(tmp_path / "in"), rows.schema))), out, str(tmp_path / "state"))
+        return sorted((r.source_file, r.rule) for r in spark.read.parquet(out).collect())
+
+    assert add(1) == [("f1", "V1"), ("f1", "V2"), ("f1", "V5")]
+    assert add(2) == [(f, v) for f in ("f1", "f2") for v in ("V1", "V2", "V5")]
