@@ -13,14 +13,14 @@ distinct keys; nothing depends on the number of rows that a key has.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, checkpointed, table
+from .common import LOWER, UPPER, added, checkpointed, fresh, table
 
 #: The rules of the query: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -120,40 +120,44 @@ def _levels(rows) -> dict[int, list[tuple[int, np.ndarray]]]:
 
 
 def apply_cascade(rows: DataFrame, key: Column, levels: DataFrame, shards: int, send_mb: int = SEND_MB) -> DataFrame:
-    """rows with `listed`. Filters of up to send_mb go to every executor; larger ones meet their rows by shard.
+    """rows with `listed` (`listed_` if rows has such a column). Filters of up to send_mb go to every executor; larger ones meet their rows by shard.
 
-    In the second way a shard's rows are cut into pieces of about SHARD_KEYS rows, each with its own copy of
-    the shard's filters, so that a key with many rows does not fill one task.
+    In the second way a shard's keys are cut into pieces of about SHARD_KEYS, each with its own copy of the
+    shard's filters; a key goes to one of them once, however many rows have it, and the rows join what it gets.
     """
-    names = ["h1", "h2", "shard"]
-    wide = rows.select("*", *hashed(key, shards))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", listed boolean"
+    own = [fresh(rows, n) for n in ("h1", "h2", "shard")]
+    wide = rows.select("*", *[c.alias(n) for c, n in zip(hashed(key, shards), own, strict=True)])
     mb = (levels.agg(F.sum(F.length("bits"))).first()[0] or 0) / 1e6
     if mb <= send_mb:
         sent = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in levels.collect()])
 
-        def member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def start():
             known = _levels(sent.value)
-            for pdf in batches:
-                shard, h1, h2 = pdf["shard"].to_numpy(), pdf["h1"].to_numpy().astype(np.uint64), pdf["h2"].to_numpy().astype(np.uint64)
-                listed = np.zeros(len(pdf), dtype=bool)
+
+            def member(h1: list, h2: list, shard: list) -> list[list]:
+                h1, h2, shard = np.array(h1, dtype=np.int64).view(np.uint64), np.array(h2, dtype=np.int64).view(np.uint64), np.array(shard)
+                listed = np.zeros(len(shard), dtype=bool)
                 for s in np.unique(shard):
                     at = np.flatnonzero(shard == s)
                     listed[at] = _is_listed(known.get(int(s), []), h1[at], h2[at])
-                yield pdf.drop(columns=names).assign(listed=listed)
+                return [listed.tolist()]
+
+            return member
 
-        return wide.mapInPandas(member, schema)
-    pieces = max(1, math.ceil(wide.count() / (shards * SHARD_KEYS)))
-    wide = wide.withColumn("piece", F.floor(F.rand(5) * pieces).cast("int"))
+        return added(wide, own, "listed boolean", start).drop(*own)
+    keys = wide.select(*[F.col(n).alias(k) for n, k in zip(own, ("h1", "h2", "shard"), strict=True)]).distinct()
+    pieces = max(1, math.ceil(keys.count() / (shards * SHARD_KEYS)))
+    keys = keys.withColumn("piece", F.pmod(F.xxhash64("h2"), F.lit(pieces)).cast("int"))
     copies = levels.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = _levels(right[["shard", "level", "n_bits", "bits"]].itertuples(index=False, name=None))
-        own = next(iter(own.values()), [])
-        listed = _is_listed(own, left["h1"].to_numpy().astype(np.uint64), left["h2"].to_numpy().astype(np.uint64))
-        return left.drop(columns=[*names, "piece"]).assign(listed=listed)
+        known = _levels(right[["shard", "level", "n_bits", "bits"]].itertuples(index=False, name=None))
+        known = next(iter(known.values()), [])
+        return left[["h1", "h2"]].assign(listed=_is_listed(known, left["h1"].to_numpy().astype(np.uint64), left["h2"].to_numpy().astype(np.uint64)))
 
-    return wide.groupBy("shard", "piece").cogroup(copies.groupBy("shard", "piece")).applyInPandas(meet, schema)
+    found = keys.groupBy("shard", "piece").cogroup(copies.groupBy("shard", "piece")).applyInPandas(meet, "h1 long, h2 long, listed boolean")
+    name = fresh(rows, "listed")
+    return wide.join(found.select(F.col("h1").alias(own[0]), F.col("h2").alias(own[1]), F.col("listed").alias(name)), own[:2]).drop(*own)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -161,8 +165,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, page_id: str = "page
 
     A page's key is its host and path; `listed` has a column key. The verdict is that of the longest rule
     that fits; else block for a listed key, else allow. An url without host (null, no `://`) has an empty
-    key, which is never listed, and so is allowed. Repeated rows are judged one by one; other columns of
-    pages are left out; an empty table gives an empty result.
+    key, which is never listed, and so is allowed. Repeated rows are judged one by one, very long urls whole;
+    other columns of pages, whatever their names, are left out; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url))
     parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))

@@ -322,6 +322,9 @@ def test_cascade(spark):
     for send in (64, 0):  # sent to all, or met by shard
         rows = url_filter.apply_cascade(keys.withColumnRenamed("listed", "truth"), F.col("key"), levels, shards, send)
         assert rows.count() == 4000 and rows.filter("listed != truth").count() == 0
+        twice = keys.unionByName(keys.limit(10)).withColumnsRenamed({"listed": "truth"}).withColumns({"h1": F.lit("mine"), "shard": F.lit(None).cast("long"), "piece": F.lit(2**62 + 1)})
+        rows = url_filter.apply_cascade(twice, F.col("key"), levels, shards, send).select("key", "truth", "h1", "shard", "piece", "listed").collect()
+        assert len(rows) == 4010 and all(r.truth == r.listed and r.h1 == "mine" and r.shard is None and r.piece == 2**62 + 1 for r in rows)
 
 
 def test_mix(spark, texts):
