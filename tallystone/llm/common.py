@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from ..workspace import checkpointed, discard, scratch, shared_dir  # noqa: F401
 WHITE = " \t\n\x0b\x0c\r"
 #: Rows of a table of a few narrow columns up to which it is sent to every executor.
 SEND_ROWS = 1_000_000
+#: Rows of texts that are held at once on their way to Python and back.
+BATCH_ROWS = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,6 +31,18 @@ def sent(df: DataFrame, most: int = SEND_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """What is run inside sends batches of so many rows to Python, so that those of long texts need little memory. The session's own setting is back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -71,10 +86,10 @@ def added(rows: DataFrame, reads: list[str], results: str, start: Callable[[], C
             held.clear()
 
         for batch in batches:
-            if batch.num_rows:
-                f = f or start()
-                held.append(batch)
-                if sum(b.nbytes for b in held) >= block_bytes:
+            f = f or start()
+            for at_row in range(0, batch.num_rows, BATCH_ROWS):  # few texts are Python objects at once
+                held.append(batch.slice(at_row, BATCH_ROWS))
+                if not block_bytes or sum(b.nbytes for b in held) >= block_bytes:
                     yield from done()
         if held:
             yield from done()

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEND_ROWS, added, checkpointed, fresh, sent, table
+from .common import SEND_ROWS, added, checkpointed, fresh, sent, small_batches, table
 from .components import components
 
 BITS = 64
@@ -327,6 +327,12 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of them that was changed least; what is still in different groups then meets wholly, by _unmet(). Of many
     pairs only the closest of each set are looked up first, since the rest mostly lies in one group after that.
     """
+    with small_batches(docs.sparkSession):
+        return _similar_groups(docs, doc_id, text, shingle, dense)
+
+
+def _similar_groups(docs: DataFrame, doc_id: str, text: str, shingle: int, dense: int) -> DataFrame:
+    """similar_groups(); everything that sends texts to Python is run inside."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     common, counts = _common(rows, shingle)
 
