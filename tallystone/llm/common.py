@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -43,6 +44,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(name, own)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function from batches to batches. After each partition its worker, which is kept for later ones, gives freed memory back to the system."""
+
+    def own(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return own
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -94,4 +108,4 @@ def added(rows: DataFrame, reads: list[str], results: str, start: Callable[[], C
         if held:
             yield from done()
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *own.fields]))
+    return rows.mapInArrow(lean(run), StructType([*rows.schema.fields, *own.fields]))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEND_ROWS, added, checkpointed, fresh, sent, small_batches, table
+from .common import SEND_ROWS, added, checkpointed, fresh, lean, sent, small_batches, table
 from .components import components
 
 BITS = 64
@@ -207,7 +207,7 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             yield pd.DataFrame({"key": np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)})
 
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
-    held = sample.mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(f"n >= {COMMON}").orderBy(F.desc("n"), "key").limit(COMMON_KEYS).collect()
+    held = sample.mapInPandas(lean(run), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(f"n >= {COMMON}").orderBy(F.desc("n"), "key").limit(COMMON_KEYS).collect()
     keys, counts = np.array([r.key for r in held], dtype=np.int64).view(np.uint64), np.array([r.n for r in held], dtype=np.int64)
     order = np.argsort(keys)
     return keys[order], counts[order]
@@ -252,7 +252,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, shingle: int)
     need = checkpointed(reps.join(asked, "sid").select(F.col("id").alias("doc_id")).distinct())
     texts = rows.join(sent(need), "doc_id", "left_semi")
     # an id may have other texts too, which nobody has asked for; repeated rows give the same set again
-    sets = checkpointed(texts.mapInPandas(run, "sid long, h array<long>").join(asked, "sid", "left_semi").dropDuplicates(["sid"]))
+    sets = checkpointed(texts.mapInPandas(lean(run), "sid long, h array<long>").join(asked, "sid", "left_semi").dropDuplicates(["sid"]))
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
     return both.filter(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
 
@@ -345,7 +345,7 @@ def _similar_groups(docs: DataFrame, doc_id: str, text: str, shingle: int, dense
             })
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    made = rows.mapInPandas(run, f"doc_id {kind}, sid long, n long, segs array<long>, prefix array<long>")
+    made = rows.mapInPandas(lean(run), f"doc_id {kind}, sid long, n long, segs array<long>, prefix array<long>")
     made = checkpointed(made.withColumn("row", F.monotonically_increasing_id()))  # fixed by being kept
     reps = checkpointed(made.groupBy("sid").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count("*").alias("copies")))
     again = checkpointed(made.select("sid", "row").join(reps.filter("copies > 1").select("sid", F.col("row").alias("kept")), "sid").filter("row != kept").select("row"))

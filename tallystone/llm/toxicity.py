@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, checkpointed, fresh, table
+from .common import added, checkpointed, fresh, lean, table
 
 #: Labelled rows that are fitted at most, chosen by a hash of the id. They bound the lexicon too: a stem must be in LEAST_DOCS of them.
 FIT_ROWS = 20_000
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
         if keys:
             yield pd.DataFrame({"stem": keys, **{f"{c}{y}": [x[y][k] for k in keys] for c, x in (("n", n), ("d", d)) for y in (0, 1)}})
 
-    stems = own.filter("not held").select("t", "y").mapInPandas(count, "stem string, n0 long, n1 long, d0 long, d1 long")
+    stems = own.filter("not held").select("t", "y").mapInPandas(lean(count), "stem string, n0 long, n1 long, d0 long, d1 long")
     stems = checkpointed(stems.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1")]).filter(f"stem = '' or d1 >= {LEAST_DOCS}"))
     of = stems.filter("stem = ''").first()
     if of is None or not of.d0 or not of.d1:
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions=EXC
             x = np.array([lexicon.features(automaton, t) for t in pdf["t"]]).reshape(-1, 3)
             yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": (pdf["y"] != 0).astype(float)})
 
-    seen = own.filter("held").select("t", "y").mapInPandas(features, "a double, b double, c double, y double").collect()
+    seen = own.filter("held").select("t", "y").mapInPandas(lean(features), "a double, b double, c double, y double").collect()
     y = np.array([r.y for r in seen])
     if not 0 < y.sum() < len(y):
         return lexicon
