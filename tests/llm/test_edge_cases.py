@@ -7,7 +7,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.llm import decontamination, line_dedup, mixing, mtree, secrets, sharding, simhash, token_counts, toxicity, url_filter
+from tallystone.llm import common, decontamination, line_dedup, mixing, mtree, secrets, sharding, simhash, token_counts, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 50_000
@@ -217,3 +217,16 @@ def test_stages_on_odd_rows(spark, docs, tmp_path):
     assert ids(stages["decontamination"](spark, docs, str(tmp_path))) == [1, 1, 2, 3, 4, 5, 6, None]
     assert set(ids(stages["mixing"](spark, docs, str(tmp_path)))) <= {1, 4, 5, None}
     assert ids(stages["sharding"](spark, docs, str(tmp_path))) == [1, 1, 2, 3, 4, 5, 6, None]
+
+
+def test_lean_passes_batches_and_errors():
+    def odd(batches):
+        for x in batches:
+            if x == 2:
+                raise ValueError("two")
+            yield x
+
+    own = common.lean(odd)
+    assert list(own(iter([]))) == [] and list(own(iter([1, 3]))) == [1, 3]
+    with pytest.raises(ValueError, match="two"):
+        list(own(iter([1, 2])))
