@@ -54,6 +54,18 @@ def test_candidates_match_brute_force(spark):
     assert got == want and got
 
 
+def test_candidates_in_blocks_and_without_broadcasts(spark, monkeypatch):
+    words = ["largering", "hotbolt", "m6", "轴承7205", "角接触轴承7205大", "x"]
+    rows = [(f"f{i % 3}", i, f"s{i % 4}", words[i % 6] * (1 + i % 3), f"{i % 5}x{i % 7}", 1.0, 1, "high", []) for i in range(60)]
+    m = merged(spark, lines(spark, rows))
+    groups = C.first_groups(m)
+    whole = sorted(C.candidate_pairs(m, groups).collect())
+    monkeypatch.setattr(C, "BLOCK_GROUPS", 2)
+    pairs = C.candidate_pairs(m, groups)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(pairs.collect()) == whole and whole
+
+
 def fold(spark, keys, results):
     groups = spark.createDataFrame([(k, k, "", i) for i, k in enumerate(keys)], "item_key string, item_name string, spec string, group_place int")
     pairs = spark.createDataFrame([(str(i), a, b) for i, (a, b, _) in enumerate(results)], "pair_id string, a_key string, b_key string")
