@@ -45,3 +45,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(5).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_merge_takes_what_is_needed_once(spark):
+    plan = lambda name: catalogue.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "'V3'" not in plan("merge_last_wins") and "flags" not in plan("merge_last_wins")
+    assert all("l_orderkey" not in plan(name) for name in ("price_deviation", "first_pass_groups", "compare_matrix"))
