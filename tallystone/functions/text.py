@@ -7,6 +7,8 @@ raises: what can't be parsed is null.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +21,8 @@ KUAI = rf"(?U)([0-9]+){SPACE}*块{SPACE}*([0-9]{{1,2}})(?![0-9])"
 NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
 OCR_CONFUSION = r"[0-9][OIl]|[OIl][0-9]"
 CURRENCIES = (("HKD", r"HK\$|HKD|港币|港元"), ("USD", r"\$|USD|美元|美金"), ("EUR", r"€|EUR|欧元"))
+#: What any of these begins with: a text without it needs no slower pattern.
+CURRENCY_STARTS = "[$€HhUuEe港美欧]"
 CN_DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 IN_STOCK = "现货|当天|即日|即刻"
 LEAD_NOISE = "约|左右|大概|大约|订货|货期|交期|内|需|要"
@@ -38,7 +42,10 @@ def ascii_digits(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Without white space around it. Texts that begin and end with common characters that are none don't meet the pattern, which is slow."""
+    ends = [F.substring(c, 1, 1), F.substring(c, -1, 1)]
+    plain = [e.between("!", "~") | e.between("一", "鿿") | e.between("¡", "ÿ") for e in ends]
+    return F.when((c == "") | (plain[0] & plain[1]), c).otherwise(F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", ""))
 
 
 def is_blank(c: Column) -> Column:
@@ -51,7 +58,7 @@ def parse_number(c: Column) -> Column:
     t = ascii_digits(c)
     spoken = F.concat(F.regexp_extract(t, KUAI, 1), F.lit("."), F.regexp_extract(t, KUAI, 2))
     plain = F.translate(F.regexp_extract(F.translate(t, "，", ","), NUMBER, 0), ",", "")
-    return F.when(t.rlike(KUAI), spoken.try_cast("double")).otherwise(F.nullif(plain, F.lit("")).try_cast("double"))
+    return F.when(F.contains(c, F.lit("块")) & t.rlike(KUAI), spoken.try_cast("double")).otherwise(F.nullif(plain, F.lit("")).try_cast("double"))
 
 
 def ocr_confusion(c: Column) -> Column:
@@ -64,7 +71,7 @@ def detect_currency(c: Column) -> Column:
     out = F.when(c.rlike(f"(?iu){CURRENCIES[0][1]}"), CURRENCIES[0][0])
     for code, pattern in CURRENCIES[1:]:
         out = out.when(c.rlike(f"(?iu){pattern}"), code)
-    return out
+    return F.when(c.rlike(CURRENCY_STARTS), out)
 
 
 def detect_tax(c: Column) -> Column:
@@ -93,9 +100,14 @@ def lead_numbers(t: Column) -> dict[str, Column]:
     s = rf"{SPACE}*"
     days = rf"{s}(?:个)?(?:工作日|天|日)"
     span = rf"(?U){LEAD_NUMBER}{s}[-~到至]{s}{LEAD_NUMBER}{days}"
+    of = lambda sign, pattern, n: F.when(sign, F.regexp_extract(t, pattern, n)).otherwise("")
+    has = lambda *words: reduce(or_, (F.contains(t, F.lit(w)) for w in words))
+    day, month = has("天", "日"), has("月")
+    ranged = day & has("-", "~", "到", "至")
+    # no pattern runs over a text without the words that it needs
     return {
-        "span": F.regexp_extract(t, span, 1), "until": F.regexp_extract(t, span, 2), "day": F.regexp_extract(t, rf"(?U){LEAD_NUMBER}{days}", 1),
-        "week": F.regexp_extract(t, rf"(?U){LEAD_NUMBER}{s}(?:个)?(?:星期|周)", 1), "half": F.regexp_extract(t, "半(?:个)?月", 0), "month": F.regexp_extract(t, rf"(?U){LEAD_NUMBER}{s}(?:个)?月", 1),
+        "span": of(ranged, span, 1), "until": of(ranged, span, 2), "day": of(day, rf"(?U){LEAD_NUMBER}{days}", 1),
+        "week": of(has("周", "期"), rf"(?U){LEAD_NUMBER}{s}(?:个)?(?:星期|周)", 1), "half": of(month, "半(?:个)?月", 0), "month": of(month, rf"(?U){LEAD_NUMBER}{s}(?:个)?月", 1),
     }
 
 

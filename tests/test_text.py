@@ -69,3 +69,16 @@ def test_functions_in_sql(spark):
     assert [tuple(r) for r in got] == [tuple(r) for r in want] and got[0][0] == 5 and got[1][1] == 1234.5
     got = spark.sql("SELECT d.i, c.* FROM VALUES (1, 'aa\nbbbbbb\nc\n'), (2, NULL), (3, '') AS d(i, x), LATERAL chunk_lines(d.x, 5) c ORDER BY 1, 2").collect()
     assert [tuple(r) for r in got] == [(1, 0, 3, "aa\n"), (1, 1, 3, "bbbbbb\n"), (1, 2, 3, "c\n"), (3, 0, 1, "")]
+
+
+def test_slow_patterns_are_guarded_and_agree(spark):
+    ends = ["", " ", "a", " a", "a　", " 元", "元", "¥5元", "\x1c1\x1f", " 天\u0085", "～5 ", "\x7f", None]
+    rows = spark.createDataFrame([(i, e) for i, e in enumerate(ends)], "i int, t string")
+    old = F.regexp_replace("t", rf"(?U)^{T.SPACE}+|{T.SPACE}+$", "")
+    assert [r for r in rows.select(old.alias("a"), T.strip(F.col("t")).alias("b")).collect() if r.a != r.b] == []
+    for column in (T.strip(F.col("t")), T.detect_currency(F.col("t")), T.parse_lead_time(F.col("t"))):
+        assert "CASE WHEN" in rows.select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE(t#" in (plan := rows.select(T.detect_currency(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()) and T.CURRENCY_STARTS in plan
+    terms = spark.createDataFrame([("hKd 5", "3 - 5 个工作日"), ("us$", "两星期"), ("欧元", "半个月"), ("uſd", "三个月"), ("元", "2到4日"), (None, None)], "c string, l string")
+    got = [(r.c, r.l) for r in terms.select(T.detect_currency(F.col("c")).alias("c"), T.parse_lead_time(F.col("l")).alias("l")).collect()]
+    assert got == [("HKD", 5), ("USD", 14), ("EUR", 15), ("USD", 90), (None, 4), (None, None)]
