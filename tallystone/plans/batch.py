@@ -102,7 +102,7 @@ def compare_lines(lines: DataFrame, make: Callable[[], X.Transport] | None = Non
     groups = checkpointed(C.first_groups(merged))
     notes = [C.merge_notes(keyed).select(F.lit(0).alias("kind"), F.struct("is_supplement", "source_file", "line_no").cast("string").alias("o"), "note")]
     mapping = groups.select("item_key", F.col("item_key").alias("final_key"), (F.row_number().over(Window.orderBy("group_place", "item_key")) - 1).alias("group_ord"), F.lit(False).alias("review"), F.array().cast("array<string>").alias("notes"))
-    pairs = checkpointed(C.numbered(C.candidate_pairs(merged, groups, normalize))) if make or options.get("recordings") is not None else None
+    pairs = C.numbered(C.candidate_pairs(merged, groups, normalize)) if make or options.get("recordings") is not None else None
     if pairs is not None and not pairs.isEmpty():
         results, failed = match_answers(pairs, make, **options)
         if failed:
@@ -113,7 +113,7 @@ def compare_lines(lines: DataFrame, make: Callable[[], X.Transport] | None = Non
         else:
             mapping = checkpointed(C.match_fold(groups, pairs, results))
             notes.append(mapping.select(F.explode("global_notes").alias("n")).select(F.lit(1).alias("kind"), F.format_string("%09d", "n.ord").alias("o"), "n.note"))
-            mapping = mapping.drop("global_notes")
+            mapping = mapping.drop("global_notes", "n_notes")
     names = groups.select(F.col("item_key").alias("final_key"), "item_name", "spec")
     mapping = checkpointed(mapping)
     mapped = merged.join(mapping.select("item_key", "final_key"), "item_key").withColumn("moved", (F.col("item_key") != F.col("final_key")).cast("int"))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallystone.functions import text as T
@@ -82,6 +83,51 @@ def test_fold_is_no_closure(spark):
     assert [k for k in sorted("abcd", key=lambda k: low[k].group_ord)] == ["a", "d", "b", "c"] and low["a"].review and not low["b"].review
 
 
+def plain_fold(keys, results):
+    """The fold by one list, in the order of the results: (final key, place, review, notes) of each key, and what is said."""
+    order, into, review, notes, said = list(keys), {k: k for k in keys}, set(), {k: [] for k in keys}, []
+    for a, b, confidence in results:
+        if into[a] != a or into[b] != b:
+            continue
+        if confidence == "high":
+            into[a] = b
+            order.remove(a)
+            notes[b].append(f"LLM 合并: '{a}' 并入本组（r）")
+            said.append((a, f"物料合并: '{a}' ≈ '{b}'"))
+        else:
+            review |= {a, b}
+            for x, y in ((a, b), (b, a)):
+                notes[x].append(f"疑似与 '{y}' 同物料（低置信，未合并，请人工确认）")
+            said.append((a, f"待确认匹配: '{a}' ? '{b}'"))
+            order.remove(b)
+            order.insert(order.index(a) + 1, b)
+    end = lambda k: k if into[k] == k else end(into[k])
+    return {k: (end(k), order.index(end(k)), end(k) in review, notes[end(k)], [(i, n) for i, (a, n) in enumerate(said) if a == k]) for k in keys}
+
+
+@pytest.mark.parametrize(("rows", "high"), [(100_000, 0.3), (0, 0.1), (0, 0.9), (2, 0.6)])
+def test_fold_is_that_of_one_list(spark, monkeypatch, rows, high):
+    # results in any order, more than one task is given
+    monkeypatch.setattr(C, "FOLD_ROWS", rows, raising=False)
+    monkeypatch.setattr(C, "CONTROL_ROWS", 10, raising=False)
+    rnd = random.Random(rows + high)
+    keys = [f"k{i:02}" for i in range(30)]
+    results = [(*rnd.sample(keys, 2), "high" if rnd.random() < high else "low") for _ in range(60)]
+    # a chain of placings and one of moves
+    results += [(x, y, "low") for x, y in zip(keys[20:], keys[21:])] + [(x, y, "high") for x, y in zip(keys[:8], keys[1:])][::-1]
+    out = fold(spark, keys, results)
+    got = {k: (r.final_key, r.group_ord, r.review, r.notes, [tuple(n) for n in r.global_notes]) for k, r in out.items()}
+    assert got == plain_fold(keys, results) and all(r.n_notes == len(r.notes) for r in out.values())
+
+
+def test_numbers_of_pairs_are_told_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "CONTROL_ROWS", 10, raising=False)
+    rows = [(f"a{i % 7}", f"b{i}", i % 7, -i) for i in range(50)]
+    pairs = C.numbered(spark.createDataFrame(rows, "a_key string, b_key string, a_place int, b_place int").repartition(5))
+    assert [(r.a_key, r.b_key) for r in sorted(pairs.collect(), key=lambda r: int(r.pair_id))] == [r[:2] for r in sorted(rows, key=lambda r: r[2:])]
+    assert sorted(int(r.pair_id) for r in pairs.collect()) == list(range(50))
+
+
 def test_degraded(spark):
     pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "a_key string, b_key string")
     assert {(r.item_key, r.n_notes) for r in C.match_degraded(pairs).collect()} == {("a", 2), ("b", 1), ("c", 1)}
