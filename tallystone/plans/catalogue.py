@@ -17,6 +17,8 @@ from . import rules as R
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Suppliers that are sent to all executors at most.
+SENT_SUPPLIERS = 100_000
 
 
 def query(sql: str | None = None):
@@ -273,7 +275,9 @@ def merge_notes(spark, sf_dir):
 
 
 def _placed(merged: DataFrame) -> DataFrame:
-    return merged.join(C.supplier_order(merged), "supplier_name")
+    """merged with supplier_ord. The suppliers are sent to the lines while they are few; left to itself, Spark sends the lines if these are packed well."""
+    suppliers = checkpointed(C.supplier_order(merged))
+    return merged.join(suppliers.hint("broadcast" if suppliers.count() <= SENT_SUPPLIERS else "merge"), "supplier_name")
 
 
 @query(f"""WITH {D.SQL_LINES}, firsts AS (SELECT supplier_name, item_key, {D.SQL_ORDER}, item_name, spec, row_number() OVER (PARTITION BY supplier_name, item_key ORDER BY {D.SQL_ORDER}) AS r1,
@@ -287,7 +291,7 @@ def first_pass_groups(spark, sf_dir):
 
 
 def _part_match(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    merged = checkpointed(_placed(C.merge_last(C.keyed(D.part_quotes(spark, sf_dir)))))
+    merged = checkpointed(_placed(stored(C.merge_last(C.keyed(D.part_quotes(spark, sf_dir))))))
     groups = checkpointed(C.first_groups(merged))
     return merged, groups, C.candidate_pairs(merged, groups)
 

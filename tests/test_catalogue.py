@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallystone.plans import catalogue
 
@@ -51,3 +52,15 @@ def test_merge_takes_what_is_needed_once(spark):
     plan = lambda name: catalogue.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "'V3'" not in plan("merge_last_wins") and "flags" not in plan("merge_last_wins")
     assert all("l_orderkey" not in plan(name) for name in ("price_deviation", "first_pass_groups", "compare_matrix"))
+
+
+def test_suppliers_are_sent_and_not_lines(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") % 3).cast("string").alias("supplier_name"), F.col("id").cast("string").alias("item_key"), F.struct("id").alias("first_ord"))
+    rows = rows.groupBy("supplier_name", "item_key").agg(F.min("first_ord").alias("first_ord"))
+    plans = {}
+    for sent in (100_000, 2):
+        monkeypatch.setattr(catalogue, "SENT_SUPPLIERS", sent, raising=False)
+        out = catalogue._placed(rows)
+        assert {(r.supplier_name, r.supplier_ord) for r in out.collect()} == {("0", 0), ("1", 1), ("2", 2)} and out.count() == 5000
+        plans[sent] = out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plans[100_000] and not any("BuildLeft" in p for p in plans.values()) and "Broadcast" not in plans[2]
